@@ -27,6 +27,8 @@ from . import scratch, words
 
 #: Documents sampled and n-grams kept per language, bits of a table's slot number.
 SAMPLE, GRAMS, BITS = 400, 6000, 17
+#: Bytes of text handled at once; each takes about forty bytes of working arrays.
+SLICE = 2_000_000
 GRAM = 4
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _LETTER = np.zeros(256, bool)
@@ -71,7 +73,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, bits: int
 
     def count(batches):
         for b in batches:
-            for at, part in words.slices(b.column(0)):
+            for at, part in words.slices(b.column(0), SLICE):
                 data, offset = _padded(part)
                 g, langs = _grams(data), b.column(1).slice(at, len(part)).to_pylist()
                 seen: dict[str, list[np.ndarray]] = {}
@@ -122,7 +124,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         f = sent.value
         names = np.array([*f.languages, "und"], object)
         for b in batches:
-            for at, part in words.slices(b.column(1)):
+            for at, part in words.slices(b.column(1), SLICE):
                 data, offset = _padded(part)
                 score, n = counts(f, data, offset)
                 # a letter: ASCII ones by byte, others by character where no ASCII one is found
