@@ -29,7 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import components, scratch, words
+from .. import scratch
+from ..operators import components
+from . import words
 
 SHINGLE, PERCENT = 5, 80
 #: Classes of a block that one task indexes at most.

@@ -23,7 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from . import scratch, words
+from .. import scratch
+from . import words
 
 #: Documents sampled and n-grams kept per language, bits of a table's slot number.
 SAMPLE, GRAMS, BITS = 400, 6000, 17
@@ -155,12 +156,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: A winner's share below which a document is in none of the learned languages.
-MIN_SCORE = 0.3
-
-
-def known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a learned language, with their columns."""
+def known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """The documents in a learned language, with their columns: those without a letter go, and with
+    ``min_score`` those whose winner has a smaller share. Short texts have uncertain shares, so
+    none is asked for unless said."""
     stray = scratch.column_like("_stray", docs.columns)
     verdicts = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < min_score))
     verdicts = verdicts.select(F.col("doc_id").alias(stray)).distinct()

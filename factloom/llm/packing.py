@@ -23,7 +23,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import scratch, tokens
+from .. import scratch
+from . import tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Documents of a cell, islands that evolve each cell, epochs between migrations, individuals and

@@ -14,7 +14,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import scratch, tokens
+from .. import scratch
+from . import tokens
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 
