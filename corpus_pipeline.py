@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import decontam, jaccard, langid, linededup, packing, scratch
+from factloom import scratch
+from factloom.llm import decontam, jaccard, langid, linededup, packing
 from factloom.session import ship_package, table
 
 
