@@ -1 +1 @@
-
+"""Scalar rules as Column expressions."""

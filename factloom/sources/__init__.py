@@ -1 +1 @@
-
+"""Scans of raw records into facts, and sinks."""
