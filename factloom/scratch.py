@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN = "/tmp/checkpoints/factloom"
+#: Bytes of a table that is broadcast at most; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -23,6 +25,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str, row_bytes: Column | int = 16, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` stored, and marked for broadcast only if its measured size is within ``limit``."""
+    kept = stored(df, name)
+    size = kept.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= limit else kept
+
+
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of scratch tables that nothing reads any more."""
     for frame in frames:
