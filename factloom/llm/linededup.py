@@ -3,7 +3,7 @@
 A host's boilerplate lines are those that more than ``ratio`` of its pages contain (and at least
 ``least`` pages, since a ratio over a handful of pages says nothing). They are dropped from every
 page of the host. A host with n lines a page has at most n / ratio such lines, so they travel as one
-row a host.
+row a host, by broadcast where their measured size is small.
 
 Lines are compared with white space trimmed; blank lines are kept. Defined cases: a null text stays
 null; a null host is a host of its own; repeated rows count as pages of their own; columns besides
@@ -41,6 +41,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     numbers of lines and of dropped lines as ``n_lines`` and ``n_dropped``."""
     host_key, drop, kept = (scratch.column_like(c, pages.columns) for c in ("_host", "_drop", "_kept"))
     bad = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias(host_key), F.col("lines").alias(drop))
+    bad = scratch.sized(bad, "boilerplate", F.octet_length(F.array_join(drop, "\n")) + 64)
     joined = pages.join(bad, F.col(host).eqNullSafe(F.col(host_key)), "left")
     parts = F.split(F.col(text), "\n")
     keep = F.when(F.col(drop).isNull(), parts).otherwise(
