@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .. import scratch
 from . import words
 
 WINDOW = 13
@@ -209,5 +210,7 @@ def contamination(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns; null ids are kept by value."""
-    verdicts = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(verdicts, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = scratch.column_like("_bad", docs.columns)
+    verdicts = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(bad)).distinct()
+    verdicts = scratch.sized(verdicts, "contaminated")
+    return docs.join(verdicts, docs["doc_id"].cast("long").eqNullSafe(F.col(bad)), "left_anti")

@@ -353,5 +353,5 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block:
 def one_each(docs: DataFrame) -> DataFrame:
     """The documents that name their component, with their columns."""
     rest = scratch.column_like("_copy", docs.columns)
-    copies = similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(rest)).distinct()
+    copies = scratch.sized(similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(rest)).distinct(), "copies")
     return docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(rest)), "left_anti")

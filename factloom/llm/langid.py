@@ -162,5 +162,5 @@ def known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     none is asked for unless said."""
     stray = scratch.column_like("_stray", docs.columns)
     verdicts = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < min_score))
-    verdicts = verdicts.select(F.col("doc_id").alias(stray)).distinct()
+    verdicts = scratch.sized(verdicts.select(F.col("doc_id").alias(stray)).distinct(), "stray")
     return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col(stray)), "left_anti")
