@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, bindings, graphs, statistics, texts
+from .plans import analytics, bindings, evaluation, filings, graphs, roles, statistics, texts
 
-_PARTS = (analytics, bindings, graphs, statistics, texts)
+_PARTS = (analytics, bindings, roles, evaluation, filings, graphs, statistics, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
