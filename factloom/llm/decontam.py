@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import scratch
-from . import words
+from . import memory, words
 
 WINDOW = 13
 #: Text of a block of benchmark items that is sent to every task at most.
@@ -168,7 +168,7 @@ def contamination(
                     rows = [_finish(d, n, h, items.get(r, set())) for r, (d, n, h) in enumerate(zip(ids, w.counts().tolist(), n_hit, strict=True))]
                     yield _batch(rows, _RESULT_ARROW)
 
-        return texts.mapInArrow(judge, RESULT)
+        return texts.mapInArrow(memory.by_task(judge), RESULT)
 
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
 
@@ -186,7 +186,7 @@ def contamination(
                         rows.append((*ids, last - first, np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), sorted(items.get(r, ()))))
                     yield _batch(rows, _HITS_ARROW)
 
-        return numbered.mapInArrow(spans, _HITS)
+        return numbered.mapInArrow(memory.by_task(spans), _HITS)
 
     passes = one_pass(blocks[0])
     for sent in blocks[1:]:
@@ -205,7 +205,7 @@ def contamination(
                 rows.append(_finish(r["doc_id"], r["n_words"], int((np.cumsum(edge) > 0).sum()), set(r["items"])))
             yield _batch(rows, _RESULT_ARROW)
 
-    return merged.mapInArrow(finish, RESULT)
+    return merged.mapInArrow(memory.by_task(finish), RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

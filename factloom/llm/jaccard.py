@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import scratch
 from ..operators import components
-from . import words
+from . import memory, words
 
 SHINGLE, PERCENT = 5, 80
 #: Classes of a block that one task indexes at most.
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     [b.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), pa.array(class_keys(h, n))], ["doc_id", "n_shingles", "class"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(memory.by_task(sign), "doc_id long, n_shingles long, class long")
 
 
 _DEALT = "bucket int, kind int, class binary, key binary"
@@ -174,10 +174,10 @@ def memberships(docs: DataFrame, size: int, percent: int, buckets: int) -> DataF
         pairs = np.unique(np.stack([pivot[several], cls[several]], 1), axis=0)
         return pa.table({"pivot": pairs[:, 0], "class": pairs[:, 1]})
 
-    dealt = docs.select("text").mapInArrow(emit, _DEALT)
-    shared = dealt.groupBy("bucket").applyInArrow(share, _DEALT)
-    left = shared.groupBy("bucket").applyInArrow(survive, _DEALT)
-    return left.groupBy("bucket").applyInArrow(block, "pivot long, class long")
+    dealt = docs.select("text").mapInArrow(memory.by_task(emit), _DEALT)
+    shared = dealt.groupBy("bucket").applyInArrow(memory.by_group(share), _DEALT)
+    left = shared.groupBy("bucket").applyInArrow(memory.by_group(survive), _DEALT)
+    return left.groupBy("bucket").applyInArrow(memory.by_group(block), "pivot long, class long")
 
 
 class Forest:
@@ -292,7 +292,7 @@ def block_links(docs: DataFrame, members: DataFrame, size: int, percent: int) ->
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return members.join(texts, "id").groupBy("task").applyInArrow(search, "a long, b long")
+    return members.join(texts, "id").groupBy("task").applyInArrow(memory.by_group(search), "a long, b long")
 
 
 def tasks(members: DataFrame, percent: int, block: int) -> DataFrame:

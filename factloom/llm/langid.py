@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .. import scratch
-from . import words
+from . import memory, words
 
 #: Documents sampled and n-grams kept per language, bits of a table's slot number.
 SAMPLE, GRAMS, BITS = 400, 6000, 17
@@ -84,7 +84,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, bits: int
                     u, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = some.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = some.select("text", "lang").mapInArrow(memory.by_task(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                     [b.column(0).slice(at, len(part)), pa.array(names[best], pa.string()), pa.array(np.clip(share, 0, 1))], ["doc_id", "lang_pred", "score"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(memory.by_task(judge), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(doc_id):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import scratch
-from . import tokens
+from . import memory, tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Documents of a cell, islands that evolve each cell, epochs between migrations, individuals and
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, closing: int = 0) ->
                     )
                     rows = []
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(memory.by_task(cut), PIECES)
 
 
 class Packing:

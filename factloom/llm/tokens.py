@@ -26,8 +26,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: apostrophe, and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+\Z")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Chunks and runs of characters that a worker keeps at most, about 200 MB together.
-CHUNKS, RUNS = 1_500_000, 300_000
+#: Chunks and runs of characters that a worker keeps at most, about 60 MB together.
+CHUNKS, RUNS = 400_000, 100_000
 
 
 def _byte_alphabet() -> list[str]:
