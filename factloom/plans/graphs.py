@@ -73,6 +73,12 @@ def _(t):
     return G.components_of(links)
 
 
+@R.query("graph_components_all")
+def _(t):
+    """The whole bipartite graph; ``graph_components`` is a sample of it that recursive SQL can follow."""
+    return G.components_of(t.lineitem.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")))
+
+
 @R.query("graph_shape")
 def _(t):
     e = t.lineitem.select(F.pmod("l_orderkey", F.lit(50)).alias("sample"), F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
