@@ -1,12 +1,13 @@
 """Line deduplication by site-relative frequency, as one DataFrame plan.
 
-A host's boilerplate lines are those that more than ``ratio`` of its pages contain (and at least
-``least`` pages, since a ratio over a handful of pages says nothing). They are dropped from every
+A host's boilerplate lines are those that more than ``ratio`` of its different pages contain (and at
+least ``least`` of them, since a ratio over a handful of pages says nothing). Copies of a text count
+as one page, else they would vote for their own lines and all be emptied. They are dropped from every
 page of the host. A host with n lines a page has at most n / ratio such lines, so they travel as one
 row a host, by broadcast where their measured size is small.
 
 Lines are compared with white space trimmed; blank lines are kept. Defined cases: a null text stays
-null; a null host is a host of its own; repeated rows count as pages of their own; columns besides
+null; a null host is a host of its own; null texts count as one page; columns besides
 ``text`` pass unchanged whatever their names; an empty table stays empty.
 """
 
@@ -27,10 +28,11 @@ def _lines(text):
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """(host, lines): the lines of each host that exceed the ratio."""
-    named = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    found = named.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("line != ''")
-    # copies of a line meet as partial counts, so a hot host or line is no hot task
+    digest = F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b""))
+    named = pages.select(F.col(host).alias("host"), F.col(text).alias("text"), digest.alias("digest"))
+    # copies of a text or a line meet as partial counts, so a hot host, text or line is no hot task
+    totals = named.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    found = named.select("host", "digest", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("line != ''").distinct()
     seen = found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     over = seen.join(totals, seen["host"].eqNullSafe(totals["host"])).where(F.col("n") > ratio * F.col("pages"))
     return over.groupBy(seen["host"].alias("host")).agg(F.sort_array(F.collect_list("line")).alias("lines"))

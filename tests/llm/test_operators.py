@@ -292,6 +292,25 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(pages.limit(0)).count() == 0
 
 
+def test_copies_are_not_boilerplate(spark):
+    copy = "Menu\nfirst line\nsecond line"
+    rows = [(k, "a", copy if k < 40 else f"Menu\nonly {k}") for k in range(120)]  # a third is one text
+    out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {k: t.removeprefix("Menu\n") for k, _, t in rows}
+
+
+def test_pipeline_keeps_one_of_a_copied_text(spark):
+    import corpus_pipeline
+
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ana", "ilo", "uta", "ero")]
+    copy = "\n".join(" ".join(words[k : k + 8]) for k in range(0, 32, 8))
+    rows = [(k, copy if k < 40 else " ".join(random.Random(k).sample(words, 30)), "en", "a") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.jaccard_join(spark, scratch.stored(corpus_pipeline.line_dedup(spark, docs, ""), "t"), "")
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert kept[0] == copy and not set(range(1, 40)) & set(kept)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "x", "small"), (5, "y", None), (6, "z\r\nw", big + "!"), (None, "n", big)]
