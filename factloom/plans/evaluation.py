@@ -86,6 +86,15 @@ def _(t):
     return E.reason_counts(t.orders.where("o_custkey % 3 = 0"), "o_orderkey", rules, "unclassified_unresolved")
 
 
+@R.query("adjudication_reasons_all", """WITH r AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 200000 THEN 'total_score_disagreement' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'low_confidence' END, CASE WHEN o_orderstatus = 'P' THEN 'missing_dimensions' END], lambda x: x IS NOT NULL) r FROM orders),
+e AS (SELECT o_orderkey, unnest(CASE WHEN len(r) = 0 THEN ['unclassified_unresolved'] WHEN len(r) > 1 THEN list_append(r, 'multiple_reasons') ELSE r END) reason FROM r),
+x AS (SELECT reason, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) examples FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY o_orderkey) k FROM e WHERE reason <> 'multiple_reasons') WHERE k <= 20 GROUP BY 1)
+SELECT reason, count(*) n, any_value(examples) examples FROM e LEFT JOIN x USING (reason) GROUP BY 1""")
+def _(t):
+    rules = {"total_score_disagreement": F.col("o_totalprice") > 200000, "low_confidence": F.col("o_orderpriority") == "5-LOW", "missing_dimensions": F.col("o_orderstatus") == "P"}
+    return E.reason_counts(t.orders, "o_orderkey", rules, "unclassified_unresolved")
+
+
 @R.query("dataset_role_value", """WITH d AS (SELECT doc_id, lang, source, doc_id % 5 <> 0 train FROM documents), n AS (SELECT lang, count(*) FILTER (train) have, sum(count(*) FILTER (train)) OVER () * 0.3::DOUBLE target FROM d GROUP BY 1),
 g AS (SELECT lang, CASE WHEN target <= 0 OR have >= target THEN 0.0 ELSE round(100.0 * (target - have) / target, 6) END gap FROM n), s AS (SELECT source, count(*) FILTER (train) k FROM d GROUP BY 1)
 SELECT doc_id, round(0.85::DOUBLE * gap::DOUBLE + 0.1::DOUBLE * CASE WHEN k <= 40 THEN 100.0 ELSE round(4000.0::DOUBLE / k, 6) END + CASE WHEN train THEN 5 ELSE 0 END, 4) AS value FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang JOIN s ON d.source IS NOT DISTINCT FROM s.source""")
@@ -113,6 +122,18 @@ def _(t):
     return E.retention(builds, 2, [7]).select("build_id", "n_nodes", "action")
 
 
+@R.query("retention_plan_all", """WITH b AS (SELECT n_nationkey build_id, n_nationkey % 4 <> 1 ok, n_nationkey % 3 <> 0 good, n_nationkey = 2 active, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) n_nodes FROM nation),
+h AS (SELECT build_id FROM b WHERE ok AND good AND n_nodes > 0 ORDER BY build_id DESC LIMIT 2) SELECT build_id, n_nodes, CASE WHEN build_id IN (SELECT build_id FROM h) OR active OR build_id = 7 THEN 'hot' WHEN n_nodes > 0 THEN 'archive' ELSE 'empty' END AS action FROM b""")
+def _(t):
+    n = t.customer.groupBy(F.col("c_nationkey").alias("build_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    k = F.col("n_nationkey")
+    builds = t.nation.select(
+        k.alias("build_id"), F.when(k % 4 != 1, "success").otherwise("failed").alias("status"), F.when(k % 3 != 0, "passed").otherwise("failed").alias("quality_status"), F.when(k == 2, 1).otherwise(0).alias("is_active"),
+        F.lit(None).cast("date").alias("completed_at"), F.date_add(F.lit("2024-01-01").cast("date"), k).alias("started_at"), F.lit(0).alias("n_edges"),
+    ).join(n, "build_id", "left").fillna(0, ["n_nodes"])
+    return E.retention(builds, 2, [7]).select("build_id", "n_nodes", "action")
+
+
 @R.query("latest_per_key", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC NULLS LAST) k FROM conversations) WHERE k = 1")
 def _(t):
     return E.latest(t.conversations, ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "role")

@@ -60,3 +60,17 @@ def test_ngram_cosine_of_every_document(spark, tmp_path):
         verdict = "reject" if best[0] >= 0.85 else "review" if best[0] >= 0.65 else "pass"
         assert (rows[k]["id"], rows[k].verdict) == (best[1], verdict) and abs(rows[k].cosine - best[0]) < 1e-4
     assert (rows[10].verdict, rows[17].verdict, rows[14].verdict, rows[14]["id"]) == ("reject", "reject", "pass", None)
+
+
+def test_whole_tables_are_classified_counted_and_resolved(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("orders", [(k, k, 1.0, "1-URGENT", "O") for k in range(1, 10)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string")
+    put("nation", [(k,) for k in (3, 5, 9)], "n_nationkey int")
+    put("customer", [(k, 3) for k in range(1, 8)] + [(9, 5)], "c_custkey long, c_nationkey int")
+    put("lineitem", [(1, k, 1, k, 1) for k in range(1, 8)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity long")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in run("adjudication_reasons_all")] == [("unclassified_unresolved", 9, "1,2,3,4,5,6,7,8,9")]
+    assert {r.build_id: (r.n_nodes, r.action) for r in run("retention_plan_all")} == {3: (7, "archive"), 5: (1, "archive"), 9: (0, "empty")}
+    assert {(r.l_linenumber, r.cross_check) for r in run("candidate_resolution_all")} == {(k, "matched") for k in range(1, 8)}
