@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 
@@ -60,7 +60,20 @@ def html_chunks(pages: DataFrame, size: int = 3000, most: int = 20) -> DataFrame
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
-    """(page_id, row, cells) of list items or table rows: at most 80 rows a page, 500 characters a cell."""
-    rows = F.slice(F.regexp_extract_all("html", F.lit(r"(?s)<(?:tr|ul)[^>]*>(.*?)</(?:tr|ul)>"), 1), 1, 80)
-    cells = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<(?:td|th|li)[^>]*>(.*?)</(?:td|th|li)>"), 1), lambda c: F.substring(F.trim(F.regexp_replace(c, "<[^>]*>", "")), 1, 500))
-    return pages.select("page_id", F.posexplode(rows).alias("row", "body")).select("page_id", "row", cells.alias("cells"))
+    """(page_id, row, table, table_row, cells) of every table row or list, 500 characters a cell.
+
+    ``row`` runs over the page; ``table`` is null for what stands outside a table, and ``table_row`` runs within the table.
+    """
+    whole = r"(?is)<table\b[^>]*>.*?</table\s*>|<(?:tr|ul)\b[^>]*>.*?</(?:tr|ul)\s*>"
+    blocks = F.regexp_extract_all("html", F.lit(whole), 0)
+    is_table = lambda b: b.rlike(r"(?i)^<table\b")
+    bodies = lambda b: F.regexp_extract_all(b, F.lit(r"(?is)<(?:tr|ul)\b[^>]*>(.*?)</(?:tr|ul)\s*>"), 1)
+    p = pages.select("page_id", F.posexplode(blocks).alias("block", "html"))
+    p = p.select("page_id", "block", is_table(F.col("html")).alias("is_table"), bodies(F.col("html")).alias("bodies"))
+    w = Window.partitionBy("page_id").orderBy("block")
+    before = F.coalesce(F.sum(F.size("bodies")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    number = F.when(F.col("is_table"), F.sum(F.col("is_table").cast("int")).over(w) - 1).cast("int")
+    # the sums come first: beside a generator they would run over its rows
+    p = p.select("page_id", before.alias("before"), number.alias("table"), "bodies").select("page_id", "before", "table", F.posexplode("bodies").alias("k", "body"))
+    cells = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<(?:td|th|li)\b[^>]*>(.*?)</(?:td|th|li)\s*>"), 1), lambda c: F.substring(F.trim(F.regexp_replace(c, "<[^>]*>", "")), 1, 500))
+    return p.select("page_id", (F.col("before") + F.col("k")).alias("row"), "table", F.when(F.col("table").isNotNull(), F.col("k")).alias("table_row"), cells.alias("cells"))

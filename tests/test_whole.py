@@ -7,6 +7,7 @@ import random
 import re
 
 from factloom import catalog
+from factloom.sources import scans
 
 
 def test_components_of_every_link(spark, tmp_path):
@@ -74,3 +75,14 @@ def test_whole_tables_are_classified_counted_and_resolved(spark, tmp_path):
     assert [tuple(r) for r in run("adjudication_reasons_all")] == [("unclassified_unresolved", 9, "1,2,3,4,5,6,7,8,9")]
     assert {r.build_id: (r.n_nodes, r.action) for r in run("retention_plan_all")} == {3: (7, "archive"), 5: (1, "archive"), 9: (0, "empty")}
     assert {(r.l_linenumber, r.cross_check) for r in run("candidate_resolution_all")} == {(k, "matched") for k in range(1, 8)}
+
+
+def test_rows_of_every_table(spark, tmp_path):
+    long = "".join(f"<TR><TD>a{k}</TD><td>b</td></tr>" for k in range(90))
+    html = f"<ul><li>x</li></ul><TABLE border=1>{long}</TABLE>" + "<table><tr><th>h</th></tr></table>" * 30 + "<ul>\n<li>y</li></ul><tr><td>loose</td></tr>"
+    spark.createDataFrame([(1, html), (2, "<table><tr><td>open"), (3, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = sorted(catalog.queries()["text_html_tables"](spark, str(tmp_path)).collect(), key=lambda r: r.row)
+    assert [r.row for r in rows] == list(range(123)) and {r.page_id for r in rows} == {1}
+    assert [r.cells for r in rows] == ["x", *[f"a{k}|b" for k in range(90)], *["h"] * 30, "y", "loose"]
+    found = scans.html_tables(spark.read.parquet(str(tmp_path / "pages.parquet"))).collect()
+    assert sorted((r.table, r.table_row) for r in found if r.table is not None) == [(0, k) for k in range(90)] + [(k, 0) for k in range(1, 31)]
