@@ -10,31 +10,36 @@ from factloom.session import ship_package, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages."""
+    """Documents in a learned language: those whose text is null, has no letter, or is of no learned language by the filters' share
+    go. Each row is judged by its own text, so ids may be null or repeated. An empty table, or one without labels, gives no rows."""
     ship_package(spark)
     return langid.known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines."""
-    kept = linededup.drop_boilerplate(docs).select(docs.columns)
+    """All rows, without their source's boilerplate lines, and with ``n_chars`` counted again where there is that column. A null
+    text stays null; ids and other columns are not looked at."""
+    kept = linededup.drop_boilerplate(docs)
+    kept = kept.toDF(*[str(k) for k in range(len(kept.columns))]).select(*[F.col(str(k)).alias(c) for k, c in enumerate(docs.columns)])
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies, that of the smallest id (a null one is the last); of repeated rows one; rows without
+    words all stay."""
     ship_package(spark)
     return jaccard.one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage worth the name."""
+    """Rows that hold no benchmark passage worth the name, judged by their own text; a null text stays, ids may be null or repeated."""
     ship_package(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place in it."""
+    """Token pieces with their sequence and place in it; a null text is empty, repeated rows and null ids are rows of their own, other
+    columns are dropped."""
     ship_package(spark)
     return packing.pack(docs)
 
@@ -52,8 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage's rows are written in the shared folder and read by the next one."""
-    docs = table(spark, sf_dir, "documents")
+    """Every stage's rows are written in the shared folder and read by the next one; what a stage leaves there is then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = scratch.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch.trail() as used:
+            rows = stage(spark, docs, sf_dir)
+        with scratch.trail() as own:
+            docs = scratch.stored(rows, f"pipeline-{name}")
+        scratch.delete(spark, before + used)
+        before = own
     return docs
