@@ -22,12 +22,12 @@ def new(features: int, hidden: int, rng: np.random.Generator) -> dict[str, np.nd
     return w
 
 
-def _run(w: dict, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-    """Hidden states of one direction; x is steps x pages x features."""
+def _run(w: dict, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None, state: list | None = None) -> np.ndarray:
+    """Hidden states of one direction; x is steps x pages x features. ``state`` goes in and out where given."""
     steps, pages, _ = x.shape
     hidden = w[f"h{side}"].shape[0]
     given = x @ w[f"x{side}"] + w[f"c{side}"]
-    h, c = np.zeros((pages, hidden), np.float32), np.zeros((pages, hidden), np.float32)
+    h, c = state or (np.zeros((pages, hidden), np.float32), np.zeros((pages, hidden), np.float32))
     out = np.zeros((steps, pages, hidden), np.float32)
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
         z = given[t] + h @ w[f"h{side}"]
@@ -41,6 +41,28 @@ def _run(w: dict, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None)
             keep.append((t, h, c, i, f, o, g, tc, m))
         h, c = m * (o * tc) + (1 - m) * h, m * c_new + (1 - m) * c
         out[t] = h
+    if state is not None:
+        state[:] = h, c
+    return out
+
+
+def forward_long(w: dict, part, steps: int, at_once: int) -> np.ndarray:
+    """Probability of each step of one long page, whose features ``part(a, b)`` gives for steps a to b.
+
+    Only ``at_once`` steps are held at a time; between parts the states of each direction are carried, so the result is that of
+    the whole page.
+    """
+    cuts = [(a, min(a + at_once, steps)) for a in range(0, steps, at_once)]
+    hidden, ahead, out = w["hf"].shape[0], [], np.zeros(steps, np.float32)
+    back = np.zeros((steps, hidden), np.float32)
+    state: list = []
+    for a, b in reversed(cuts):
+        back[a:b] = _run(w, "b", part(a, b)[:, None], np.ones((b - a, 1), np.float32), None, state)[:, 0]
+    state = ahead
+    for a, b in cuts:
+        x = part(a, b)
+        own = _run(w, "f", x[:, None], np.ones((b - a, 1), np.float32), None, state)[:, 0]
+        out[a:b] = _sigmoid(np.concatenate([own, back[a:b], x], axis=1) @ w["out"] + w["bias"])[:, 0]
     return out
 
 

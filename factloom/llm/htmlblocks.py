@@ -11,11 +11,15 @@ import pyarrow as pa
 
 from . import words
 
+#: A tag, comment or declaration. Quotes delimit only right after ``=``; a ``<`` before anything else is text.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|head|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
+#: Elements whose content is no text. The content of the raw ones runs to the page's end where the end tag is
+#: missing, as in browsers; the tag of the others alone is skipped then, and a self-closed one is empty.
+_RAW = frozenset("script style".split())
+_HIDDEN = frozenset("template noscript svg iframe title object math textarea".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW | _HIDDEN}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Tags inside which text runs on; every other tag ends a block.
@@ -59,18 +63,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if stack[k][0] in _HOLDERS:
                 return
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, search, unclosed = 0, _TOKEN.search, set()
+    while m := search(page, at):
         if m.start() > at:
             text = html.unescape(page[at : m.start()])
             parts.append(text)
             linked += len(text) if link else 0
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if tag == "head":  # its content decides: what is no title, style or script there is text
+            continue
+        if tag in _ENDS and not m[1]:
+            if (tag in _RAW or not m[3].endswith("/")) and tag not in unclosed:
+                end = _ENDS[tag].search(page, at)
+                if end is None:
+                    unclosed.add(tag)
+                    at = len(page) if tag in _RAW else at
+                else:
+                    at = end.end()
+            continue
+        if m[1]:
             if tag == "a":
                 link = max(0, link - 1)
             names = [t for t, _ in stack]
@@ -94,11 +109,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
         if tag == "a":
             link += 1
-        if tag not in _VOID and not m[4].endswith("/"):
-            own = " ".join(x for g in _NAMED.findall(m[4]) for x in _NAME.findall("".join(g).lower()))
+        if tag not in _VOID and not m[3].endswith("/"):
+            own = " ".join(x for g in _NAMED.findall(m[3]) for x in _NAME.findall("".join(g).lower()))
             stack.append((tag, f"{tag} {own}" if own else tag))
-    if at < len(page) and "<" not in page[at : at + 1]:
-        parts.append(html.unescape(page[at:]))
+    if at < len(page):
+        text = html.unescape(page[at:])
+        parts.append(text)
+        linked += len(text) if link else 0
     flush()
     return out
 
@@ -119,8 +136,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return found
 
 
-def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> np.ndarray:
-    """A row for each block of the pages, one page after another."""
+def features(pages: list[list[tuple[tuple[str, ...], str, int]]], first: int = 0, whole: int = 0) -> np.ndarray:
+    """A row for each block of the pages, one page after another; or of one page's part that begins at
+    block ``first`` of ``whole``."""
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), FEATURES), np.float32)
     if not flat:
@@ -141,7 +159,7 @@ def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> np.ndarray:
     x[:, k + 3] = np.log1p([len(t) for _, t, _ in flat]) / 8
     x[:, k + 4] = [len(p) / 10 for p, _, _ in flat]
     sizes = np.array([len(p) for p in pages])
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    x[:, k + 5] = place / np.maximum(np.repeat(sizes, sizes), 1)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first
+    x[:, k + 5] = place / np.maximum(np.repeat(sizes, sizes) if not whole else whole, 1)
     x[:, k + 6] = 1
     return x

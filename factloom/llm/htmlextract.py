@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import bilstm, htmlblocks
 
-#: Blocks that go through the network together at most, padding included, unless one page has more.
+#: Blocks that go through the network together at most, padding included; a page of more goes in parts, states carried.
 TOGETHER = 60_000
 _weights: dict[str, np.ndarray] = {}
 
@@ -41,6 +41,12 @@ def main_texts(pages: list[str], w: dict[str, np.ndarray] | None = None) -> list
     out = [""] * len(pages)
     at = 0
     while at < len(order):
+        k = order[at]
+        if len(cut[k]) > TOGETHER:
+            p = bilstm.forward_long(w, lambda a, b, own=cut[k]: htmlblocks.features([own[a:b]], a, len(own)), len(cut[k]), TOGETHER)
+            out[k] = "\n".join(t for (_, t, _), q in zip(cut[k], p.tolist(), strict=True) if q > 0.5)
+            at += 1
+            continue
         stop = at + 1
         while stop < len(order) and len(cut[order[stop]]) * (stop + 1 - at) <= TOGETHER and stop - at < 512:
             stop += 1
