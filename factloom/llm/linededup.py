@@ -1,10 +1,10 @@
 """Line deduplication by site-relative frequency, as one DataFrame plan.
 
-A host's boilerplate lines are those that more than ``ratio`` of its different pages contain (and at
-least ``least`` of them, since a ratio over a handful of pages says nothing). Copies of a text count
-as one page, else they would vote for their own lines and all be emptied. They are dropped from every
-page of the host. A host with n lines a page has at most n / ratio such lines, so they travel as one
-row a host, by broadcast where their measured size is small.
+A host's boilerplate lines are those that more than ``ratio`` of its different pages contain; a line on
+one page only does not repeat, so ``least`` is two. Copies of a text count as one page, else they would
+vote for their own lines and all be emptied. The lines are dropped from every page of the host. A host
+with n lines a page has at most n / ratio such lines, so they travel as one row a host: by broadcast
+where their measured size is small, else repeated for the parts that each host's pages are dealt into.
 
 Lines are compared with white space trimmed; blank lines are kept. Defined cases: a null text stays
 null; a null host is a host of its own; null texts count as one page; columns besides
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import scratch
 
-RATIO, LEAST = 0.05, 5
+RATIO, LEAST = 0.05, 2
 #: Blanks that are trimmed from a line.
 _BLANK = " \t\r\x0b\x0c"
 
@@ -43,8 +43,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     numbers of lines and of dropped lines as ``n_lines`` and ``n_dropped``."""
     host_key, drop, kept = (scratch.column_like(c, pages.columns) for c in ("_host", "_drop", "_kept"))
     bad = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias(host_key), F.col("lines").alias(drop))
-    bad = scratch.sized(bad, "boilerplate", F.octet_length(F.array_join(drop, "\n")) + 64)
-    joined = pages.join(bad, F.col(host).eqNullSafe(F.col(host_key)), "left")
+    size = F.octet_length(F.array_join(drop, "\n")) + 64
+    joined = scratch.hot_join(pages, bad, F.col(f"`{host}`"), host_key, F.col(f"`{text}`"), "boilerplate", size)
     parts = F.split(F.col(text), "\n")
     keep = F.when(F.col(drop).isNull(), parts).otherwise(
         F.filter(parts, lambda x: ~F.array_contains(F.col(drop), F.trim(x, F.lit(_BLANK))))
