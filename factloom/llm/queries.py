@@ -71,12 +71,22 @@ grams AS (
   SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') g
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) i FROM dw, sizes WHERE len(w) >= size)),
 found AS (SELECT doc_id, size, i, item_id FROM grams JOIN win USING (size, g)),
+terms AS (SELECT item_id, v, i, unnest(range(0, len(v))) k, unnest(v) term FROM (
+  SELECT DISTINCT item_id, i, w[i:i + 12] v FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) i FROM bw WHERE len(w) > 0))),
+pos AS (SELECT doc_id, unnest(range(0, len(w))) p, unnest(w) term FROM dw),
+df AS (SELECT term, count(*) n FROM pos GROUP BY 1),
+rare AS (SELECT item_id, v, arg_min(k, n) k, arg_min(term, n) term FROM terms JOIN df USING (term) GROUP BY 1, 2 HAVING count(*) = len(v)),
+start AS (SELECT DISTINCT item_id, v, doc_id, p - k + off s FROM rare JOIN pos USING (term) CROSS JOIN (SELECT unnest([-{near}, 0, {near}]) off)),
+near AS (
+  SELECT item_id, doc_id, s, v FROM (SELECT item_id, doc_id, s, v, unnest(range(0, len(v))) k, unnest(v) term FROM start) JOIN pos USING (doc_id, term)
+  WHERE abs(pos.p - s - k) <= {near} GROUP BY ALL HAVING count(DISTINCT k) = len(v)),
+close AS (SELECT doc_id, count(DISTINCT item_id) n FROM near GROUP BY 1),
 hit AS (SELECT doc_id, count(DISTINCT k) n FROM (SELECT doc_id, unnest(range(i, i + size)) k FROM found) GROUP BY 1),
 items AS (SELECT doc_id, count(*) n, string_agg(item, ',' ORDER BY item) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM found) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(hit.n, 0)::BIGINT n_hit, coalesce(items.n, 0)::BIGINT n_items,
-  sha256(coalesce(ids, '')) items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
-"""
+  sha256(coalesce(ids, '')) items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) contaminated, coalesce(close.n, 0)::BIGINT n_near_items
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)
+""".replace("{near}", str(decontam.NEAR))
 
 
 def _quality_sql() -> str:
@@ -116,7 +126,8 @@ def _url_sql() -> str:
     rules = sorted(urlfilter.RULES, key=lambda r: -len(r[1]))
     which = " ".join(f"WHEN {fit(s)} THEN '{s}'" for _, s in rules)
     verdict = " ".join(f"WHEN rule = '{s}' THEN '{v}'" for v, s in rules)
-    listed = " OR ".join(f"({fit(s)})" for s in urlfilter.BLOCKED)
+    words = ", ".join(f"'{w}'" for w in urlfilter.BLOCKED)
+    listed = f"list_has_any(string_split_regex(host, '[-_.]'), [{words}])"
     return rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END rest FROM pages),
