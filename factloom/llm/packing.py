@@ -6,7 +6,9 @@ bounded size, and several islands evolve packings of each cell: crossover inject
 bins of the other parent, bins with duplicates of their documents are dissolved, and the displaced
 documents are best-fitted into the room that is left. After each epoch the elite packing of an
 island migrates to its neighbour. Bins that stay poorly filled in the best packing of their cell go
-on to a later round with those of other cells.
+on to a later round with those of other cells, until one cell holds the rest or a round gains little.
+A piece that not even the shortest of the others fits beside is a sequence of its own at once, and cells
+never grow, so no task gets more than a cell.
 
 Defined cases: a null text is empty and gives one piece of the closing id; repeated rows and null
 ids are packed as rows of their own; other columns are ignored; an empty table gives an empty
@@ -28,8 +30,10 @@ from . import memory, tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Documents of a cell, islands that evolve each cell, epochs between migrations, individuals and
-#: crossovers of an island in an epoch, and the fill from which a bin counts as done.
-CELL, ISLANDS, EPOCHS, POPULATION, CROSSOVERS, DONE = 4096, 2, 2, 4, 6, 0.999
+#: crossovers of an island in an epoch, the fill from which a bin counts as done, and the most rounds.
+CELL, ISLANDS, EPOCHS, POPULATION, CROSSOVERS, DONE, ROUNDS = 4096, 2, 2, 6, 24, 0.999, 12
+#: Share of the pieces that a round places at least; after a round that gains less, its packings stand.
+GAIN = 0.1
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, closing: int = 0) -> DataFrame:
@@ -176,11 +180,11 @@ def _island(capacity: int, seed: int):
     return run
 
 
-def evolve_cells(items: DataFrame, capacity: int, cells: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def evolve_cells(items: DataFrame, capacity: int, cells: int, turn: int = 0, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """(item, length, cell, bin) in the best packing that the islands of each cell found."""
     copies = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
     state = items.select(
-        "item", "length", F.pmod(F.xxhash64("item", F.lit(cells)), F.lit(cells)).alias("cell"), copies.alias("island"),
+        "item", "length", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(cells)).alias("cell"), copies.alias("island"),
         F.lit(0).alias("origin"), F.lit(-1).alias("bin"), F.lit(0).alias("n_bins"), F.lit(0.0).alias("score"),
     )
     for epoch in range(epochs):
@@ -200,25 +204,33 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, ce
     cut = scratch.stored(cut, "pack-pieces")
     spark = docs.sparkSession
 
-    rest = cut.where(F.col("length") < capacity).select("item", "length")
-    # round r numbers its sequences from r * 2^56, a cell's from cell * 2^24
+    # round r numbers its sequences from r * 2^56, a cell's from cell * 2^20; a full piece has its item's number
     placed: list[DataFrame] = []
-    left = rest.count()
-    for turn in range(1, 9):
+    rest = cut.where(F.col("length") < capacity).select("item", "length")
+    for turn in range(1, ROUNDS + 1):
+        left, shortest, longest = rest.agg(F.count(F.lit(1)), F.min("length"), F.max("length")).first()
         if not left:
             break
+        if longest + shortest > capacity and left > 1:  # these can't share a sequence with any piece left
+            alone = F.col("length") > capacity - shortest
+            placed.append(rest.where(alone).select("item", (F.lit(turn) * F.lit(1 << 56) + F.lit(1 << 55) + F.col("item")).alias("sequence_id")))
+            rest = rest.where(~alone)
+            left = rest.count()
+            if not left:
+                break
         cells = -(-left // cell)
-        out = evolve_cells(rest, capacity, cells)
-        out = out.withColumn("sequence_id", F.lit(turn) * F.lit(1 << 56) + F.col("cell") * F.lit(1 << 24) + F.col("bin"))
-        if cells == 1 or turn == 8:
+        out = evolve_cells(rest, capacity, cells, turn)
+        out = out.withColumn("sequence_id", F.lit(turn) * F.lit(1 << 56) + F.col("cell") * F.lit(1 << 20) + F.col("bin"))
+        if cells == 1 or turn == ROUNDS:
             placed.append(out.select("item", "sequence_id"))
             break
         fill = out.groupBy("sequence_id").agg((F.sum("length") >= int(DONE * capacity)).alias("done"))
         out = scratch.stored(out.join(fill, "sequence_id").select("item", "length", "sequence_id", "done"), f"pack-round{turn}")
+        if out.where("done").count() < GAIN * left:
+            placed.append(out.select("item", "sequence_id"))
+            break
         placed.append(out.where("done").select("item", "sequence_id"))
         rest = out.where(~F.col("done")).select("item", "length")
-        before, left = left, rest.count()
-        cell = cell if left < before // 2 else cell * 4
     where = placed[0] if placed else spark.createDataFrame([], "item long, sequence_id long")
     for more in placed[1:]:
         where = where.unionByName(more)
