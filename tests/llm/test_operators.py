@@ -97,6 +97,39 @@ def test_jaccard_on_an_empty_table(empty):
     assert jaccard.similar(empty).count() == 0
 
 
+def test_links_pass_over_null_ids(spark):
+    w = [f"w{k}" for k in range(200)]
+    chain = [" ".join(w), " ".join(["a", *w[1:]]), " ".join(["a", *w[1:-9], *"bcdefghij"])]
+    chain[2] = " ".join([*chain[1].split()[:-16], *[f"x{k}" for k in range(16)]])
+    sets = [shingles(t) for t in chain]
+    both = [100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in ((0, 1), (1, 2), (0, 2))]
+    chain = chain if both == [True, True, False] else [chain[0], " ".join([*w[:-12], *[f"y{k}" for k in range(12)]]), " ".join([*[f"z{k}" for k in range(12)], *w[12:-12], *[f"y{k}" for k in range(12)]])]
+    sets = [shingles(t) for t in chain]
+    assert [100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in ((0, 1), (1, 2), (0, 2))] == [True, True, False]
+    rows = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (None, "alone without an id"), (4, None), (None, None)]
+    out = jaccard.similar(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 0), (0, 1), (1, 1), (3, 1), (4, 4)]
+
+
+def test_repeated_rows_leave_one(spark):
+    text = "one two three four five six"
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "c"), (None, "seven words are here and no more", "d"), (None, "seven words are here and no more", "d"), (5, "", "e"), (5, "", "e"), (6, None, "f"), (1, "other text of the same id as before", "g")]
+    kept = jaccard.one_each(spark.createDataFrame(rows, "doc_id long, text string, _digest string"))
+    assert kept.columns == ["doc_id", "text", "_digest"]
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(0, "seven"), (1, "one t"), (1, "other"), (5, ""), (5, ""), (6, "")]
+
+
+def test_frequent_shingles_stand_last_and_change_no_result(spark, monkeypatch):
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [passage + " " + " ".join(f"w{r.randint(0, 400)}" for _ in range(r.randint(20, 60))) for _ in range(60)]
+    texts += [t + " x" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingle, level = jaccard.frequent(jaccard.signatures(docs))
+    assert len(shingle) >= 26 and level.min() > 0 and (np.diff(shingle.astype(object)) > 0).all()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs).collect()} == plain_components(list(enumerate(texts)))
+
+
 def test_one_document_of_each_group_stays(docs):
     kept = {r.doc_id for r in jaccard.one_each(docs).collect()}
     assert kept == {i for i, (_, c) in plain_components([(k, t) for k, t in enumerate(corpus())]).items() if i == c} | {None}
@@ -124,16 +157,47 @@ def test_contamination_against_plain_windows(spark, docs, empty, block_bytes):
                     hit |= set(range(k, k + len(phrase)))
                     ids |= own
         digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-        assert tuple(r)[1:] == (len(w), len(hit), len(ids), digest, bool(hit) and 20 * len(hit) >= len(w))
+        near = {i for phrase, own in windows.items() if any(all(p in w[max(0, s + k - 1) : max(0, s + k + 2)] for k, p in enumerate(phrase)) for s in range(-1, len(w))) for i in own}
+        assert tuple(r)[1:] == (len(w), len(hit), len(ids), digest, bool(hit) and 20 * len(hit) >= len(w), len(near))
     assert decontam.contamination(empty, bench).count() == 0
     assert not decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count()
 
 
-def test_proximity_allows_words_between():
-    phrases = decontam.compile_items([("a", "red green blue")])
-    w = words.Words(pa.array(["red x green y blue"], pa.large_string()), words.NOT_ALNUM, True)
-    assert not len(decontam.occurrences(w, phrases)[0])
-    assert len(decontam.occurrences(w, phrases, slop=2)[0])
+def test_one_index_serves_phrase_and_proximity_searches(spark, tmp_path):
+    texts = ["red x green y blue", "red green blue", None, "blue", "red", "z " * 3000 + "red green  blue " + "z " * 3000, "red green"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    index = decontam.build(docs, str(tmp_path / "index"))
+    one = spark.createDataFrame([("a", "Red green blue")], "item_id string, text string")
+    two = spark.createDataFrame([("b", "green y"), ("c", "absent"), ("d", "green blue")], "item_id string, text string")
+
+    def found(items, slop):
+        return {(r.key, r.item_id, r.first, r.last, r.exact) for r in decontam.search(index, items, slop=slop, block_bytes=10).collect()}
+
+    assert found(one, 0) == {(1, "a", 0, 2, True), (5, "a", 3000, 3002, True)}
+    near = found(one, 1)
+    assert (0, "a", 0, 4, False) in near and found(one, 0) <= near and {k for k, *_ in near} == {0, 1, 5}
+    files = sorted(p.name for p in (tmp_path / "index").rglob("*.parquet"))
+    assert found(two, 0) == {(0, "b", 2, 3, True), (1, "d", 1, 2, True), (5, "d", 3001, 3002, True)}
+    assert sorted(p.name for p in (tmp_path / "index").rglob("*.parquet")) == files  # read again, not built again
+    judged = {r.key: r.n_near_items for r in decontam.judge(index, one).collect()}
+    assert judged == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0}
+
+
+def test_rarest_term_is_that_of_the_whole_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "often rare" if k == 7 else "often") for k in range(50)], "doc_id long, text string").repartition(5)
+    index = decontam.build(docs, str(tmp_path / "index"))
+    phrases = decontam._ranked(index, [("a", "often rare never")], 13)
+    w = words.Words(pa.array(["often rare never"], pa.large_string()), words.NOT_ALNUM, True)
+    assert [int(phrases.rarity[np.searchsorted(phrases.vocabulary, h)]) for h in w.hash] == [50, 1, 0]
+
+
+def test_only_the_contaminated_row_goes(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, passage), (None, "a clean text"), (1, passage + " more"), (1, "another clean text"), (2, None), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _bad string")
+    kept = decontam.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if passage not in (t or ""))
 
 
 def test_packing_round_trip(spark, docs, empty):
@@ -161,6 +225,34 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pieces_that_fit_beside_none_are_done_at_once(spark, monkeypatch):
+    sizes = []
+    kept = packing.evolve_cells
+
+    def seen(items, capacity, cells, turn):
+        sizes.append((items.count(), cells))
+        return kept(items, capacity, cells, turn)
+
+    monkeypatch.setattr(packing, "evolve_cells", seen)
+    monkeypatch.setattr(packing, "pieces", lambda docs, *a: docs.selectExpr("doc_id", "0 piece", "0L start", "length", "0L ids_crc32"))
+    alone = spark.range(100_000).selectExpr("id doc_id", "id % 900 + 1100 length")
+    out = packing.pack(alone, capacity=2048)
+    assert out.count() == 100_000 == out.select("sequence_id").distinct().count() and not sizes
+    tight = spark.range(300).selectExpr("id doc_id", "id % 50 + 700 length")  # two of them leave room that none fills
+    out = packing.pack(tight, capacity=2048, cell=8)
+    assert out.groupBy("sequence_id").sum("length").selectExpr("max(`sum(length)`)").first()[0] <= 2048
+    assert all(n <= 12 * cells for n, cells in sizes) and len(sizes) == 1
+
+
+def test_the_genetic_search_packs_better_than_its_seed():
+    for low, high in ((500, 900), (300, 1100)):
+        r = random.Random(3)
+        lengths = [r.randint(low, high) for _ in range(1024)]
+        seed = packing.Packing(lengths, 2048).fit(sorted(range(1024), key=lambda i: -lengths[i]))
+        final = packing.evolve(lengths, 2048, [], random.Random(1))
+        assert -(-sum(lengths) // 2048) <= len(final.bins) < len(seed.bins)
+
+
 def test_crossover_keeps_every_document_once():
     r = random.Random(1)
     lengths = [r.randint(1, 90) for _ in range(300)]
@@ -183,6 +275,34 @@ def test_token_counts_and_their_cache(spark, docs, empty, tmp_path):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_a_second_run_encodes_nothing(spark, tmp_path, monkeypatch):
+    from factloom.llm import queries
+
+    rows = [(1, "same text"), (1, "same text"), (None, "same text"), (None, "same text"), (2, "other"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cache = str(tmp_path / "cache")
+    spark.conf.set(token_counts.CACHE, cache)
+    try:
+        runs = [queries.queries()["op10_token_counts"](spark, str(tmp_path)).collect() for _ in range(2)]
+    finally:
+        spark.conf.unset(token_counts.CACHE)
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1])) and len(runs[0]) == len(rows)
+    assert spark.read.parquet(cache).count() == 3  # three contents in both runs together
+
+
+def test_encoding_with_tables_that_run_over(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcé'1") for _ in range(r.randint(1, 14))) for _ in range(400)) for _ in range(30)]
+    want = [len(e.ids) for e in tokens.Encoder(tokens.default_path()).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "CHUNKS", 700)
+    monkeypatch.setattr(tokens, "RUNS", 50)
+    monkeypatch.setattr(words, "SLICE_BYTES", 9000)
+    hashes = words.Words._hashes
+    for bits in (64, 6):  # with few bits of hash, many chunks share one
+        monkeypatch.setattr(words.Words, "_hashes", lambda self: hashes(self) >> np.uint64(64 - bits))
+        assert tokens.Encoder(tokens.default_path()).counts(pa.array(texts)).tolist() == want
+
+
 def test_encoding_equals_the_library():
     r = random.Random(2)
     alphabet = "aZé'É´ß9٣́ \t\x0b  <|>endoftext.,#İΣ日!_ſ’"
@@ -206,6 +326,35 @@ def test_language_held_out_accuracy(spark):
     assert [(found[k].lang_pred, found[k].score) for k in (900, 901, 902)] == [("und", 0.0)] * 3 and found[903].lang_pred in kinds
 
 
+def test_copies_of_one_text_are_learned(spark):
+    rows = [(k, "le chat est dans la maison et le chien aussi", "fr") for k in range(400)] + [(1000 + k, f"the cat {k} is in the house with the dog", "en") for k in range(200)]
+    found = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found == {k: lang for k, _, lang in rows}
+
+
+def test_long_texts_are_counted_in_parts():
+    text = pa.array(["the cat is in the house " * 500, "", None, "été " * 90], pa.large_string()).fill_null("")
+    filters = langid.Filters(["a", "b"], *np.random.default_rng(1).integers(0, 4, (2, 1 << 17, 1)).astype(np.uint8), np.array([0.1, 0.1]))
+    whole, parts = (langid.counts(filters, *langid._padded(text), n) for n in (1 << 20, 1001))
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_rows_in_no_learned_language_go(spark):
+    from factloom import session
+
+    kinds = {"en": "the and thing over there with house about they would", "de": "und nicht schön über eine der haus auch werden mit"}
+    r = random.Random(2)
+    rows = [(None if k % 5 == 0 else k // 2, " ".join(r.choice(kinds[lang].split()) for _ in range(40)), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    polish = "w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie wół go pyta panie chrząszczu po co pan tak brzęczy"
+    strange = [(None, polish, None), (1, polish, None), (None, "123 456", "en"), (2, None, "en"), (3, "", None)]
+    docs = spark.createDataFrame([(*x, 1) for x in rows + strange], "doc_id long, text string, lang string, _stray int")
+    kept = langid.known(docs)
+    assert kept.columns == docs.columns and sorted(x.text for x in kept.collect()) == sorted(t for _, t, _ in rows)
+    only = langid.known(docs, languages=["de"])
+    assert {x.lang for x in only.collect()} == {"de"} and only.count() == 60
+    assert langid.known(docs.limit(0)).count() == 0
+
+
 def test_language_without_labels(empty, docs):
     assert langid.identify(empty).count() == 0
     none = docs.select("doc_id", "text").selectExpr("*", "cast(null as string) lang")
@@ -233,17 +382,29 @@ def test_url_rules(spark):
         "http://a.b.net/es/": ("a.b.net", "/es/", "net/es/", "block"),
         "http://a.net/de/": ("a.net", "/de/", None, "allow"),
         "http://x.com": ("x.com", "", None, "allow"),
+        "http://x.org#a/b": ("x.org", "", None, "allow"),
+        "http://x.org/a\nb#c": ("x.org", "/a\nb", None, "allow"),
         "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
-        "http://m.spam-farm.example.org/en/1": ("m.spam-farm.example.org", "/en/1", None, "block"),
+        "http://m.best-poker.example.org/en/1": ("m.best-poker.example.org", "/en/1", None, "block"),
+        "http://pokerface.example.org": ("pokerface.example.org", "", None, "allow"),
+        "http://x.listed.org/Bad/1": ("x.listed.org", "/Bad/1", None, "block"),
         "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "http://": ("", "", None, "allow"),
     }
     pages = spark.createDataFrame([(k, u, "z") for k, u in enumerate(cases)], "page_id long, url string, host string")
-    found = {r.page_id: tuple(r)[1:] for r in urlfilter.filter_urls(pages).collect()}
-    assert found == dict(enumerate(cases.values()))
-    assert {r.page_id: tuple(r)[1:] for r in urlfilter.filter_urls(pages, array_bytes=1).collect()} == found
+    blocked = [*urlfilter.BLOCKED, "listed.org/Bad/", "listed.org/Bad/"]
+    table = spark.createDataFrame([(b,) for b in [*blocked, None, ""]], "name string")
+    want = dict(enumerate(cases.values()))
+    for entries, limit in ((blocked, None), (table, None), (table, 1)):  # a list, a small table, a table too large to tell
+        assert {r.page_id: tuple(r)[1:] for r in urlfilter.filter_urls(pages, blocked=entries, array_bytes=limit).collect()} == want
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_a_large_block_list():
+    names = [f"site{k}.example.org/" for k in range(300_000)]
+    array = urlfilter.DigestArray.build(names).mapped()
+    assert array.probe([b"site7.example.org/", b"site300000.example.org/", b"site299999.example.org/"]).tolist() == [True, False, True]
+
+
 def test_equal_keys_are_told_apart_by_their_strings(monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: len(b))
     array = urlfilter.DigestArray.build(["aa/", "bb/"]).mapped()
@@ -263,6 +424,31 @@ def test_html_extraction(spark):
     assert [found[k].text for k in (2, 3, 4)] == ["", "", ""]
 
 
+def test_nothing_of_an_article_is_lost(spark):
+    pages = {
+        "<article><p title=it's>Hello world</p><p>we don't know</p><p>more</p></article>": ["Hello world", "we don't know", "more"],
+        "<article><p>first para.</p>< 5 apples and the rest": ["first para.", "< 5 apples and the rest"],
+        "<html><head><title>t</title><style>x</style><p>body text</p>": ["body text"],
+        "<p>a</p><svg viewBox='0 0'/><p>b</p><svg><text>no</text></svg><p>c</p><iframe src=x><p>d</p>": ["a", "b", "c", "d"],
+        "<p>1 < 2 && 3 > 2 &lt; <!--> 4 <!-- no -->5</p>": ["1 < 2 && 3 > 2 < 4 5"],
+        "<a title='x>y' href=\"it's\">link</a> <p>tail</p><di": ["link", "tail"],
+        "<script>var a = '<p>no</p>'; if (a<b) {}</script ><p>yes</p>": ["yes"],
+        "<p>x</p><script>unclosed <p>no</p>": ["x"],
+    }
+    for page, want in pages.items():
+        assert [t for _, t, _ in htmlblocks.blocks(page)] == want
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    out = htmlextract.extract(empty)
+    assert out.count() == 0 and out.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_a_page_of_very_many_blocks_goes_in_parts(monkeypatch):
+    page = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Sentence {k} of a long article is here.</p>" for k in range(2000)) + "</article><footer>&copy; x</footer>"
+    whole = htmlextract.main_texts([page])
+    monkeypatch.setattr(htmlextract, "TOGETHER", 333)
+    assert htmlextract.main_texts([page, ""]) == [*whole, ""] and whole[0].count("\n") == 1999
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in bilstm.new(5, 3, rng).items()}
@@ -292,6 +478,19 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(pages.limit(0)).count() == 0
 
 
+def test_ratio_alone_decides_on_a_small_host(spark):
+    rows = [(k, "s", f"Menu\nbody {k}") for k in range(4)] + [(9, "t", "Menu\nalone")]
+    out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {**{k: f"body {k}" for k in range(4)}, 9: "Menu\nalone"}
+
+
+def test_boilerplate_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
+    rows = [(k, None if k % 2 else "a", f"Menu\nbody {k}", 1) for k in range(60)]
+    out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string, _salt int"))
+    assert out.columns == ["doc_id", "source", "text", "_salt", "n_lines", "n_dropped"] and {r.doc_id: r.text for r in out.collect()} == {k: f"body {k}" for k in range(60)}
+
+
 def test_copies_are_not_boilerplate(spark):
     copy = "Menu\nfirst line\nsecond line"
     rows = [(k, "a", copy if k < 40 else f"Menu\nonly {k}") for k in range(120)]  # a third is one text
@@ -326,10 +525,24 @@ def test_warc_round_trip(spark, tmp_path):
     stored = spark.read.parquet(f"{path}/payloads")
     assert stored.count() == stored.select("key").distinct().count() == 4
     records = {r.page_id: bytes(r.record) for r in warc.read_archive(spark, path).collect()}
-    assert records[2].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[2].endswith(b"\r\n\r\n" + big.encode()) and records[1].endswith(b"\r\n\r\n")
+    assert records[2].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[2].endswith(b"\r\n\r\n" + big.encode() + b"\r\n\r\n")
+    for r in records.values():  # as a strict reader takes a record: header, as many bytes as it says, two empty lines
+        head, rest = r.split(b"\r\n\r\n", 1)
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        n = int(fields[b"Content-Length"])
+        assert rest[n:] == b"\r\n\r\n" and re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields[b"WARC-Date"]) and b" " not in fields[b"WARC-Target-URI"]
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_repeated_rows_have_records_of_their_own(spark, tmp_path):
+    rows = [(7, "u", "x" * 2000, "k")] * 3 + [(None, "u", "y" * 2000, "k")] * 2 + [(8, "u", "", "k")] * 2
+    path = str(tmp_path / "archive")
+    out = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string, key string"), path).collect())
+    assert out == [(0, "response", None), (0, "revisit", None), (7, "response", None), (7, "revisit", 7), (7, "revisit", 7), (8, "response", None), (8, "response", None)]
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", bytes(r.header))[1] for r in spark.read.parquet(f"{path}/headers").collect()]
+    assert len(set(ids)) == 7 and spark.read.parquet(f"{path}/payloads").count() == 3
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -350,6 +563,24 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert out == {k for k, t in known if groups[k][1] == k and not dirty(t)}
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(f"the and word{chr(97 + k % 26)}{chr(97 + k % 7)} of" for k in range(30))
+    rows = [(None, text, "en", None, "a", 1), (None, text, "en", None, "a", 1), (1, text + " end", "en", "s", "b", 2), (2, "a short but other text of the and", "en", "s", None, None), (2, "a short but other text of the and", "en", "s", None, None), (None, None, None, None, None, None), (3, "", "en", "s", "x", 0)]
+    schema = "doc_id long, text string, lang string, source string, _salt string, node int"
+    bench = spark.createDataFrame([(1, "nothing of this is there")], "item_id long, text string")
+    for name, own in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(own, schema).write.parquet(str(folder / "documents.parquet"))
+        bench.write.parquet(str(folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sorted(r.doc_id for r in out) == ([1, 2] if own else [])
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, str(folder)).columns == docs.columns
+
+
 def test_scratch_names_do_not_clash():
     assert scratch.column_like("_host", ["_HOST", "__host"]) == "___host"
 
