@@ -36,8 +36,8 @@ WINDOW = 13
 NEAR = 1
 #: Text of a block of benchmark items that is told to every task at most.
 BLOCK_BYTES = 32_000_000
-#: Ranges of term hashes (a power of two), and parts that the slices of a range are dealt into.
-BUCKETS, PARTS = 64, 8
+#: Ranges of term hashes (a power of two); the slices of a range are dealt into parts, ``DEALT`` of all ranges for a shuffle partition.
+BUCKETS, DEALT = 64, 4
 _SHIFT, _POSITION = np.uint64(64 - 6), 40
 #: Bucket of the rows that describe a slice's documents.
 DOCUMENTS = -1
@@ -94,7 +94,8 @@ def build(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> Inde
                 number += 1
 
     cut_rows = docs.select(key, "text").mapInArrow(memory.by_task(cut), index.schema)
-    dealt = cut_rows.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(PARTS)))
+    parts = -(-DEALT * int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = cut_rows.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts)))
     dealt.repartition("bucket", "part").drop("part").write.partitionBy("bucket").parquet(index.path)
     return index
 
