@@ -3,8 +3,10 @@
 The file's own pipeline costs about a second of CPU for a megabyte of text. None of the steps of
 the word tokenizer (NFC, white-space folding, lower case, pattern split, byte-level BPE with word
 ends, special tokens without white space) looks across white space, so a text's ids are the
-concatenation of its white-space separated chunks' ids. Chunks repeat, so each worker keeps a
-bounded table of them. Other tokenizer files go through the library as a whole text.
+concatenation of its white-space separated chunks' ids. Chunks repeat, so each worker keeps the recent
+ones in two bounded tables: when the young one is full it becomes the old one, and what is met there
+moves on to the new young one. A chunk is found by a 64-bit hash and confirmed by its bytes. Other
+tokenizer files go through the library as a whole text.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: apostrophe, and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+\Z")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Chunks and runs of characters that a worker keeps at most, about 60 MB together.
-CHUNKS, RUNS = 400_000, 100_000
+#: Entries of a table of chunks and of one of runs of characters; a worker has two of each, about 130 MB together.
+CHUNKS, RUNS = 700_000, 60_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -38,6 +40,71 @@ def _byte_alphabet() -> list[str]:
     return [table.get(b) or chr(next(hidden)) for b in range(256)]
 
 
+def _grown(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``a`` with room for ``more`` after the first ``used``."""
+    if used + more <= len(a):
+        return a
+    out = np.zeros(max(2 * len(a), used + more), a.dtype)
+    out[:used] = a[:used]
+    return out
+
+
+class Chunks:
+    """A table of chunks: their bytes and their ids, laid out one after another."""
+
+    def __init__(self, entries: int):
+        self.table = words.Table(entries)
+        self.used = self.n_ids = self.n_bytes = 0
+        self.start, self.byte = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.size, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.flat, self.bytes = np.zeros(4096, np.uint32), np.zeros(8192, np.uint8)
+
+    def find(self, found: words.Words, eight: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """Place of each word (or of those in ``which``); -1 where no chunk has its bytes."""
+        start, length = (found.start, found.length) if which is None else (found.start[which], found.length[which])
+        place = self.table.find(found.hash if which is None else found.hash[which])
+        live = np.flatnonzero(place >= 0)
+        if not len(live):
+            return place
+        other = words.eights(self.bytes)
+        row = place[live]
+        same = self.length[row] == length[live]
+        place[live[~same]] = -1
+        live, row = live[same], row[same]
+        at, to, left = start[live], self.byte[row], length[live]
+        while len(live):  # eight bytes of all that are still alike
+            same = ((eight[at] ^ other[to]) & words.KEEP[np.minimum(left, 8)]) == 0
+            place[live[~same]] = -1
+            more = same & (left > 8)
+            live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+        return place
+
+    def ids(self, place: int) -> np.ndarray:
+        return self.flat[self.start[place] : self.start[place] + self.size[place]]
+
+    def append(self, found: words.Words, which: np.ndarray, ids: list) -> np.ndarray:
+        """Lay out the words ``which`` with their ids; their places."""
+        n, size, length = len(which), np.fromiter(map(len, ids), np.int64, len(which)), found.length[which]
+        total, wide = int(size.sum()), int(length.sum())
+        for name in ("start", "byte", "size", "length"):
+            setattr(self, name, _grown(getattr(self, name), self.used, n))
+        self.flat, self.bytes = _grown(self.flat, self.n_ids, total), _grown(self.bytes, self.n_bytes + 8, wide)
+        own = slice(self.used, self.used + n)
+        self.start[own], self.byte[own] = self.n_ids + np.cumsum(size) - size, self.n_bytes + np.cumsum(length) - length
+        self.size[own], self.length[own] = size, length
+        self.flat[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        self.bytes[self.n_bytes : self.n_bytes + wide] = _gather(found.data, found.start[which], length, ends)
+        self.used, self.n_ids, self.n_bytes = self.used + n, self.n_ids + total, self.n_bytes + wide
+        return np.arange(own.start, own.stop)
+
+    def add(self, found: words.Words, which: np.ndarray, ids: list) -> None:
+        """Put in words whose hashes are distinct; where another chunk has the hash, it stays."""
+        free = np.flatnonzero(self.table.find(found.hash[which]) < 0)
+        place = self.append(found, which[free], [ids[k] for k in free.tolist()])
+        self.table.add(found.hash[which[free]], place)
+
+
 class Encoder:
     """Ids of whole texts, without special tokens added, as the library gives them."""
 
@@ -55,8 +122,10 @@ class Encoder:
         self._special = re.compile(special or r"(?!)")
         alphabet = _byte_alphabet()
         self._bytes = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(33, 256)}
+        self._marks = {t["content"][0] for t in spec.get("added_tokens", [])}
         self._runs: dict[str, tuple[int, ...]] = {}
-        self._forget()
+        self._old_runs: dict[str, tuple[int, ...]] = {}
+        self._young, self._old = Chunks(CHUNKS), Chunks(1)
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -76,48 +145,61 @@ class Encoder:
             and plain
         )
 
-    def _forget(self) -> None:
-        self._table = words.Table(CHUNKS)
-        self._flat, self._start, self._size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
     def _run(self, run: str) -> tuple[int, ...]:
-        ids = self._runs.get(run)
+        """Ids of a run that the young table lacks."""
+        ids = self._old_runs.get(run)
         if ids is None:
             ids = tuple([t.id for t in self.tokenizer.model.tokenize(run.translate(self._bytes))])
-            if len(self._runs) >= RUNS:
-                self._runs.clear()
-            self._runs[run] = ids
+        if len(self._runs) >= RUNS:
+            self._runs, self._old_runs = {}, self._runs
+        self._runs[run] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        if _PLAIN.match(chunk) and not self._special.search(chunk):
-            runs = _RUNS.findall(chunk.lower())
-            return self._run(runs[0]) if len(runs) == 1 else sum(map(self._run, runs), ())
-        return tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+    def _encoded(self, found: words.Words, which: np.ndarray) -> list[tuple[int, ...]]:
+        """Ids of each of the words ``which``."""
+        n = found.length[which] + 1  # a space behind each, which no word holds
+        ends = np.concatenate([[0], np.cumsum(n)])
+        blob = _gather(np.append(found.data, np.uint8(32)), found.start[which], n, ends)
+        blob[ends[1:] - 1] = 32
+        out, plain, cut, runs_of, marks = [], _PLAIN.match, _RUNS.findall, self._run, self._marks
+        for chunk in blob.tobytes().decode().split(" ")[:-1]:
+            if not plain(chunk) or (not marks.isdisjoint(chunk) and self._special.search(chunk)):
+                out.append(tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids))
+                continue
+            low = chunk.lower()
+            got = self._runs.get(low) if low.isalpha() else None
+            if got is None:
+                got = ()
+                for run in cut(low):
+                    got += self._runs.get(run) or runs_of(run)
+            out.append(got)
+        return out
 
-    def _rows(self, found: words.Words) -> np.ndarray:
-        """Each word's place among this worker's chunks; unknown ones are encoded once."""
-        place = self._table.find(found.hash)
+    def _rows(self, found: words.Words) -> tuple[Chunks, np.ndarray]:
+        """A table, and each word's place in it; unknown words are encoded once."""
+        eight = words.eights(found.data)
+        place = self._young.find(found, eight)
         missing = np.flatnonzero(place < 0)
-        if len(missing):
-            new, first, back = np.unique(found.hash[missing], return_index=True, return_inverse=True)
-            if self._table.used + len(new) > CHUNKS:
-                self._forget()
-                if len(new) > CHUNKS:  # a slice of more distinct words than are ever kept
-                    self._table = words.Table(2 * len(new))
-                if len(missing) < len(place):
-                    return self._rows(found)
-            at, n = found.start[missing[first]], found.length[missing[first]]
-            ids = [self._chunk(found.data[i : i + k].tobytes().decode()) for i, k in zip(at.tolist(), n.tolist(), strict=True)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-            base = len(self._start)
-            self._start = np.concatenate([self._start, len(self._flat) + np.cumsum(size) - size])
-            self._size = np.concatenate([self._size, size])
-            self._flat = np.concatenate([self._flat, flat])
-            self._table.add(new, base + np.arange(len(new)))
-            place[missing] = base + back.ravel()
-        return place
+        if not len(missing):
+            return self._young, place
+        new, first, back = np.unique(found.hash[missing], return_index=True, return_inverse=True)
+        if self._young.used + len(new) > CHUNKS:
+            self._young, self._old = Chunks(max(CHUNKS, len(new))), self._young
+            if len(missing) < len(place):  # the new young table takes all that this slice has
+                return self._rows(found)
+        chosen = missing[first]
+        known = self._old.find(found, eight, chosen)
+        ids: list = [None] * len(chosen)
+        fresh = np.flatnonzero(known < 0)
+        for k, own in zip(fresh.tolist(), self._encoded(found, chosen[fresh]), strict=True):
+            ids[k] = own
+        for k in np.flatnonzero(known >= 0).tolist():
+            ids[k] = self._old.ids(int(known[k]))
+        self._young.add(found, chosen, ids)
+        place[missing] = self._young.find(found, eight, missing)
+        for k in np.flatnonzero(place < 0).tolist():  # two chunks of one hash: the second is kept outside the table
+            place[k] = self._young.append(found, np.array([k]), self._encoded(found, np.array([k])))[0]
+        return self._young, place
 
     def encode(self, texts: pa.Array):
         """Yields (first row, ids, ends): a slice's ids in one array and each row's end in it."""
@@ -130,10 +212,10 @@ class Encoder:
                 yield at, np.concatenate(found), np.cumsum([len(f) for f in found], dtype=np.int64)
                 continue
             cut = words.Words(part, words.SPACE, False)
-            place = self._rows(cut)
-            n = self._size[place]
+            table, place = self._rows(cut)
+            n = table.size[place].astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
-            yield at, _gather(self._flat, self._start[place], n, ends), ends[cut.row_end]
+            yield at, _gather(table.flat, table.start[place], n, ends), ends[cut.row_end]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text; the ids themselves are not laid out."""
@@ -141,8 +223,8 @@ class Encoder:
         for _, part in words.slices(texts):
             if self.chunked:
                 cut = words.Words(part, words.SPACE, False)
-                place = self._rows(cut)
-                total = np.concatenate([[0], np.cumsum(self._size[place])])
+                table, place = self._rows(cut)
+                total = np.concatenate([[0], np.cumsum(table.size[place], dtype=np.int64)])
                 out.append(np.diff(total[cut.row_end], prepend=0))
             else:
                 out.append(np.array([len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in part.to_pylist()], np.int64))

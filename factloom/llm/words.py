@@ -13,7 +13,7 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S33, _S29 = np.uint64(33), np.uint64(29)
 #: Mask that keeps the first k of eight little-endian bytes.
-_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: Separators of white-space words, `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -27,6 +27,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; nothing stands behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> _S33)
@@ -77,12 +83,11 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        eight = eights(self.data)
         h = self.length.astype(np.uint64) * _SEED
         live, at, left = None, self.start, self.length
         while len(at):
-            piece = eight[at] & _KEEP[np.minimum(left, 8)]
+            piece = eight[at] & KEEP[np.minimum(left, 8)]
             if live is None:
                 h = mix(h ^ piece)
             else:
