@@ -39,18 +39,16 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: datetim
     archive = uuid.uuid4().hex
     stamp = (date or datetime.datetime.now(datetime.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    hashed = pages.select("page_id", "url", body.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     # the numbers of records are written with them, so later reads agree on them
-    staged = scratch.stored(
-        pages.select("page_id", "url", body.alias("payload")).select(
-            F.monotonically_increasing_id().alias("record"), "page_id", "url", "payload", F.octet_length("payload").cast("long").alias("n"),
-            F.sha1("payload").alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("key"),
-        ),
-        "warc-staged",
-    )
-    digests = staged.drop("payload")
+    digests = hashed.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"), "key")
+    digests = scratch.stored(digests, "warc-digests")
     # only payloads of several records are joined; the copies of a hot one meet as partial aggregates and are dealt over tasks after
-    groups = digests.groupBy("key").agg(F.max(F.struct("page_id", "record")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    groups = scratch.stored(groups.select(F.col("key").alias("hot"), F.col("first.page_id").alias("first_page"), F.col("first.record").alias("first_record"), "copies"), "warc-groups")
+    per = digests.groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("rows"), F.max("record").alias("record"))
+    groups = per.groupBy("key").agg(F.max(F.struct("page_id", "record", "rows")).alias("first"), F.sum("rows").alias("copies")).where("copies > 1")
+    groups = scratch.stored(
+        groups.select(F.col("key").alias("hot"), F.col("first.page_id").alias("first_page"), F.col("first.record").alias("first_record"), F.col("first.rows").alias("first_rows"), "copies"), "warc-groups"
+    )
     named = scratch.hot_join(digests, groups, F.col("key"), "hot", F.col("record"), "warc-named", 72)
     other = F.coalesce(F.col("record") != F.col("first_record"), F.lit(False))
     revisit = other & (F.col("n") >= least)
@@ -68,8 +66,12 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: datetim
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"), F.lit("\r\n\r\n"), http,
     )
     named.select("page_id", "record", lines.cast("binary").alias("header"), "key", F.coalesce("copies", F.lit(1)).alias("copies")).write.parquet(f"{path}/headers")
-    kept = scratch.hot_join(staged.select("record", "key", "payload"), groups, F.col("key"), "hot", F.col("record"), "warc-kept", 72)
-    kept.where(F.col("hot").isNull() | (F.col("record") == F.col("first_record"))).select("key", "payload", F.coalesce("copies", F.lit(1)).alias("copies")).write.parquet(f"{path}/payloads")
+    kept = scratch.hot_join(hashed.select("page_id", "key", "payload"), groups, F.col("key"), "hot", F.col("page_id"), "warc-kept", 80)
+    copies = F.coalesce("copies", F.lit(1)).alias("copies")
+    first = F.col("page_id").eqNullSafe(F.col("first_page"))
+    single = kept.where(F.col("hot").isNull() | (first & (F.col("first_rows") == 1))).select("key", "payload", copies)
+    repeated = kept.where(first & (F.col("first_rows") > 1)).groupBy("key").agg(F.any_value("payload").alias("payload"), F.max("copies").alias("copies"))
+    single.unionByName(repeated).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
