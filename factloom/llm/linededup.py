@@ -6,9 +6,10 @@ vote for their own lines and all be emptied. The lines are dropped from every pa
 with n lines a page has at most n / ratio such lines, so they travel as one row a host: by broadcast
 where their measured size is small, else repeated for the parts that each host's pages are dealt into.
 
-Lines are compared with white space trimmed; blank lines are kept. Defined cases: a null text stays
-null; a null host is a host of its own; null texts count as one page; columns besides
-``text`` pass unchanged whatever their names; an empty table stays empty.
+Lines are compared with white space trimmed, by 128-bit digests, so what travels does not grow with their
+length; blank lines are kept. Defined cases: a null text stays null; a null host is a host of its own;
+null texts count as one page; columns besides ``text`` pass unchanged whatever their names; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -22,17 +23,20 @@ RATIO, LEAST = 0.05, 2
 _BLANK = " \t\r\x0b\x0c"
 
 
-def _lines(text):
-    return F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_BLANK)))
+def _digest(line):
+    """128 bits of a line without the white space around it; null for a blank one."""
+    line = F.trim(line, F.lit(_BLANK))
+    return F.when(line != "", F.unhex(F.md5(line.cast("binary"))))
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(host, lines): the lines of each host that exceed the ratio."""
-    digest = F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b""))
-    named = pages.select(F.col(host).alias("host"), F.col(text).alias("text"), digest.alias("digest"))
+    """(host, lines): the digests of the lines of each host that exceed the ratio."""
+    page = F.coalesce(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))), F.lit(b""))
+    lines = F.transform(F.split(F.col(f"`{text}`"), "\n"), _digest)
+    named = pages.select(F.col(f"`{host}`").alias("host"), page.alias("page"), lines.alias("lines"))
     # copies of a text or a line meet as partial counts, so a hot host, text or line is no hot task
-    totals = named.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    found = named.select("host", "digest", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("line != ''").distinct()
+    totals = named.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    found = named.select("host", "page", F.explode("lines").alias("line")).where("line is not null").distinct()
     seen = found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     over = seen.join(totals, seen["host"].eqNullSafe(totals["host"])).where(F.col("n") > ratio * F.col("pages"))
     return over.groupBy(seen["host"].alias("host")).agg(F.sort_array(F.collect_list("line")).alias("lines"))
@@ -43,11 +47,11 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     numbers of lines and of dropped lines as ``n_lines`` and ``n_dropped``."""
     host_key, drop, kept = (scratch.column_like(c, pages.columns) for c in ("_host", "_drop", "_kept"))
     bad = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias(host_key), F.col("lines").alias(drop))
-    size = F.octet_length(F.array_join(drop, "\n")) + 64
+    size = 24 * F.size(drop) + 64
     joined = scratch.hot_join(pages, bad, F.col(f"`{host}`"), host_key, F.col(f"`{text}`"), "boilerplate", size)
-    parts = F.split(F.col(text), "\n")
+    parts = F.split(F.col(f"`{text}`"), "\n")
     keep = F.when(F.col(drop).isNull(), parts).otherwise(
-        F.filter(parts, lambda x: ~F.array_contains(F.col(drop), F.trim(x, F.lit(_BLANK))))
+        F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col(drop), _digest(x)), F.lit(False)))
     )
     joined = joined.withColumn(kept, keep)
     columns = [
