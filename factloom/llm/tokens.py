@@ -28,8 +28,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: apostrophe, and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+\Z")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Entries of a table of chunks and of one of runs of characters; a worker has two of each, about 130 MB together.
-CHUNKS, RUNS = 700_000, 60_000
+#: Entries of a table of chunks and of one of runs of characters; a worker has two of each, about 80 MB together.
+CHUNKS, RUNS = 400_000, 60_000
 
 
 def _byte_alphabet() -> list[str]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text stands alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -45,12 +45,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """Yields (first row, texts) of about ``limit`` bytes; nulls become empty texts."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
-        yield at, texts.slice(at, stop - at)
+        yield at, pc.fill_null(texts.slice(at, stop - at).cast(pa.large_string()), "")
         at = stop
 
 
