@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import column_like
+
 #: Metric formulas over a line item; addends are decimals, so sums do not depend on order.
 METRICS = {
     "revenue": "l_extendedprice * (1 - l_discount)",
@@ -16,7 +18,7 @@ METRICS = {
 
 def lines(t) -> DataFrame:
     """Line items with the nation and region of their customer and the order's date."""
-    place = F.broadcast(t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name"))
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     buyers = t.customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     return t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -51,8 +53,8 @@ def tolerance(value: Column) -> Column:
 
 def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    place = column_like("_place", df.columns)
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def latest_window(df: DataFrame, keys: list[str], index: str, least: int, most: int) -> DataFrame:

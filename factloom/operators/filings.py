@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import column_like
+
 # Rank of a form for yearly and point values, quarter values, and all others.
 ANNUAL_FORMS = {"10-K": 100, "20-F": 95, "40-F": 95, "10-K/A": 75, "20-F/A": 70, "40-F/A": 70, "10-Q": 40, "10-Q/A": 30}
 QUARTER_FORMS = {"10-Q": 100, "10-Q/A": 75, "10-K": 20, "10-K/A": 15}
@@ -92,16 +94,20 @@ def lookup_in_order(df: DataFrame, definitions: DataFrame, keys: list[Column], b
 
 
 def longest_label(texts: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
-    """Rows with the longest alias that begins their text as whole words, then the smallest alias and metric.
+    """Rows with the longest alias that begins their text as whole words, then the smallest alias and metric; repeated rows stay.
 
-    An equi-join on the leading words of every length up to the longest alias; not a join of all pairs.
+    Each different text is looked up once: an equi-join on its leading words of every length up to the longest alias, not a join of
+    all pairs, and an aggregate. The rows then join their text's alias.
     """
     most = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
-    words = F.split(F.trim(F.lower(F.col(text))), " ")
-    heads = texts.withColumn("_head", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(words), F.lit(most)), F.lit(1))), lambda n: F.array_join(F.slice(words, 1, n), " "))))
-    met = heads.join(aliases, F.col("_head") == F.lower("alias"))
-    w = Window.partitionBy(*texts.columns).orderBy(F.desc(F.length("alias")), "alias", "metric_id")
-    return met.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_head")
+    words = F.split(F.trim(F.lower("label")), " ")
+    lengths = F.sequence(F.lit(1), F.greatest(F.least(F.size(words), F.lit(most)), F.lit(1)))
+    heads = texts.select(F.col(text).alias("label")).distinct().withColumn("head", F.explode(F.transform(lengths, lambda n: F.array_join(F.slice(words, 1, n), " "))))
+    met = heads.join(aliases.select("alias", "metric_id"), F.col("head") == F.lower("alias"))
+    best = met.groupBy("label").agg(F.min(F.struct((-F.length("alias")).alias("n"), "alias", "metric_id")).alias("best"))
+    label = column_like("_label", texts.columns)
+    best = best.select(F.col("label").alias(label), "best.alias", "best.metric_id")
+    return texts.join(best, F.col(text) == F.col(label)).drop(label)
 
 
 def merge_entities(first: DataFrame, then: DataFrame, key: str) -> DataFrame:

@@ -69,23 +69,34 @@ def components_of(links: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()).distinct()
 
 
-def shapes(edges: DataFrame) -> DataFrame:
-    """Double-sweep pseudo-diameter and branch count of each sample's small graph."""
+def _shape(links: list[tuple[str, str]]) -> tuple[int, int, int]:
+    """Nodes, the largest pseudo-diameter of a component, and nodes with more than two neighbours."""
+    near: dict[str, set[str]] = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def levels(start: str) -> list[set[str]]:
+        """The nodes at each distance from ``start``."""
+        found, seen = [{start}], {start}
+        while ahead := set().union(*(near[x] for x in found[-1])) - seen:
+            seen |= ahead
+            found.append(ahead)
+        return found
+
+    widest, left = 0, set(near)
+    while left:
+        first = levels(min(left))
+        left.difference_update(*first)
+        widest = max(widest, len(levels(max(first[-1]))) - 1)  # swept again from the last of the farthest nodes
+    return len(near), widest, sum(len(v) > 2 for v in near.values())
 
-    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
 
-        def far(start: str) -> tuple[str, int]:
-            depth, layer, seen = 0, [start], {start}
-            while nxt := sorted({y for x in layer for y in near[x]} - seen):
-                seen |= set(nxt)
-                layer, depth = nxt, depth + 1
-            return min(layer), depth
+def shapes(edges: DataFrame) -> DataFrame:
+    """(sample, n_nodes, diameter, branches) of each sample's small graph (sample, a, b), over all its components; edges with an empty
+    end are left out, and a sample without others gives no row."""
 
-        end, _ = far(min(near))
-        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "n_nodes": [len(near)], "diameter": [far(end)[1]], "branches": [sum(len(v) > 2 for v in near.values())]})
+    def shape(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *_shape(list(zip(pdf["a"], pdf["b"], strict=True))))], columns=["sample", "n_nodes", "diameter", "branches"])
 
-    return edges.groupBy("sample").applyInPandas(shape, "sample long, n_nodes long, diameter long, branches long")
+    return edges.where("a <> '' and b <> ''").select("sample", "a", "b").distinct().groupBy("sample").applyInPandas(shape, "sample long, n_nodes long, diameter long, branches long")

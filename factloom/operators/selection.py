@@ -7,6 +7,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..scratch import column_like
+
 
 def largest_remainder(shares: Mapping[str, float], size: int) -> dict[str, int]:
     """Whole counts near ``size`` times each share; the largest remainders get what is left, ties by name."""
@@ -17,32 +19,33 @@ def largest_remainder(shares: Mapping[str, float], size: int) -> dict[str, int]:
     return dict(sorted(out.items()))
 
 
-def stratum_quotas(counts: Mapping[str, int], budget: int, least: int = 1) -> dict[str, int]:
-    """Share ``budget`` among strata: ``least`` each where it reaches, then in proportion to what each has left, never above its count."""
-    have = {k: int(v) for k, v in counts.items() if v > 0}
-    budget = max(0, min(budget, sum(have.values())))
-    base = {k: min(least, v) for k, v in have.items()}
-    if sum(base.values()) > budget:
-        first = sorted(have, key=lambda k: (-have[k], k))[:budget]
-        return {k: int(k in first) for k in have}
-    left = {k: have[k] - base[k] for k in have}
-    spare, total = budget - sum(base.values()), sum(left.values())
-    if not spare or not total:
-        return base
-    exact = {k: spare * left[k] / total for k in left}
-    out = {k: base[k] + min(left[k], math.floor(exact[k])) for k in left}
-    open_ = [k for k in sorted(left, key=lambda k: (math.floor(exact[k]) - exact[k], k)) if out[k] < have[k]]
-    for k in open_[: budget - sum(out.values())]:
-        out[k] += 1
-    return out
+def stratum_quotas(strata: DataFrame, stratum: str, n: str, budget: int, least: int = 1) -> DataFrame:
+    """(stratum, quota): ``budget`` shared among strata of ``n`` rows, as an allocation over the small table of strata.
+
+    Each stratum first gets ``least`` rows, or all it has; where the budget does not reach that far, the largest strata get one row
+    each. What is left goes in proportion to the rows that are left, in whole numbers, and the rows lost by that to the largest
+    remainders. No quota is above its stratum's rows.
+    """
+    every = Window.partitionBy(F.lit(0))
+    total = lambda c: F.sum(c).over(every)
+    t = strata.where(F.col(n) > 0).select(stratum, F.col(n).cast("long").alias("have")).withColumn("floor", F.least(F.lit(max(least, 0)), "have"))
+    t = t.withColumn("budget", F.least(F.lit(max(budget, 0)), total("have"))).withColumn("short", total("floor") > F.col("budget"))
+    t = t.withColumn("place", F.row_number().over(every.orderBy(F.desc("have"), stratum)))
+    t = t.withColumn("rest", F.col("have") - F.col("floor")).withColumn("spare", F.col("budget") - total("floor"))
+    exact = F.coalesce(F.try_divide(F.col("spare") * F.col("rest"), total("rest")), F.lit(0.0))
+    t = t.withColumn("exact", exact).withColumn("whole", F.col("floor") + F.least("rest", F.floor("exact")))
+    full = F.col("whole") >= F.col("have")
+    t = t.withColumn("turn", F.row_number().over(every.orderBy(full, F.floor("exact") - F.col("exact"), stratum))).withColumn("lost", F.col("budget") - total("whole"))
+    some = F.col("whole") + (~full & (F.col("turn") <= F.col("lost"))).cast("long")
+    return t.select(stratum, F.when(F.col("short"), (F.col("place") <= F.col("budget")).cast("long")).otherwise(some).alias("quota"))
 
 
-def take_quotas(df: DataFrame, stratum: str, quotas: Mapping[str, int], order: list[str]) -> DataFrame:
-    """The first rows of each stratum, as many as its quota."""
-    if not quotas:
-        return df.limit(0)
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(stratum)]
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_rn") <= quota).drop("_rn")
+def take_quotas(df: DataFrame, stratum: str, quotas: DataFrame, order: list[str]) -> DataFrame:
+    """The first rows of each stratum, as many as its quota in (stratum, quota)."""
+    place, own, quota = (column_like(c, df.columns) for c in ("_place", "_stratum", "_quota"))
+    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    side = quotas.select(F.col(stratum).alias(own), F.col("quota").alias(quota))
+    return ranked.join(side, F.col(stratum) == F.col(own)).where(F.col(place) <= F.col(quota)).drop(place, own, quota)
 
 
 def round_robin(df: DataFrame, stratum: str, order: list[str], size: int) -> DataFrame:

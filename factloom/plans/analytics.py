@@ -306,7 +306,7 @@ def _(t):
 @R.query("serve_derived", f"WITH {CHANGE} SELECT entity_id, fiscal_year, round(growth, 4) growth FROM chg WHERE metric_id = 'revenue' AND entity_id = (SELECT min(n_name) FROM nation) ORDER BY fiscal_year DESC LIMIT 10")
 def _(t):
     first = t.nation.agg(F.min("n_name").alias("entity_id"))
-    c = D.change(X.annual(t).where("metric_id = 'revenue'"), ["entity_id"], "fiscal_year").join(F.broadcast(first), "entity_id", "left_semi")
+    c = D.change(X.annual(t).where("metric_id = 'revenue'"), ["entity_id"], "fiscal_year").join(first, "entity_id", "left_semi")
     return c.orderBy(F.desc("fiscal_year")).limit(10).select("entity_id", "fiscal_year", r4("growth"))
 
 

@@ -45,8 +45,6 @@ _dag("compare", [("a", "argmax", ("revenue_1996",)), ("b", "argmin", ("revenue_1
 _dag("select_by_period", [("a", "argmax", ("revenue",)), ("s", "select_by_period", ("a", "quantity"))], "SELECT b.binding, b.entity_id, b.fiscal_year, round(b.value, 4) AS value FROM bound b JOIN (SELECT binding, fiscal_year FROM (SELECT *, row_number() OVER (PARTITION BY binding ORDER BY value DESC, entity_id, fiscal_year) k FROM bound WHERE metric_id = 'revenue') WHERE k = 1) m USING (binding, fiscal_year) WHERE b.metric_id = 'quantity'")
 _dag("intersect_on_entity", [("f", "filter", ("quantity_1996",), {"op": "gt", "value": 500.0}), ("i", "intersect_on_entity", ("revenue_1996", "f"))], "SELECT binding, entity_id, fiscal_year, round(value, 4) AS value FROM bound b WHERE metric_id = 'revenue' AND fiscal_year = 1996 AND EXISTS (SELECT 1 FROM bound q WHERE q.binding = b.binding AND q.entity_id = b.entity_id AND q.metric_id = 'quantity' AND q.fiscal_year = 1996 AND q.value > 500)")
 _dag("lookup_ranked_entities", [("r", "rank", ("revenue_1996",), {"top_k": 3}), ("l", "lookup_ranked_entities", ("r", "quantity_1996"), {"target_ranks": [1, 3]})], "SELECT binding, entity_id, rank, round(q.value, 4) AS value FROM (SELECT *, (row_number() OVER (PARTITION BY binding ORDER BY value DESC, entity_id))::INT AS rank FROM bound WHERE metric_id = 'revenue' AND fiscal_year = 1996) k JOIN bound q USING (binding, entity_id, fiscal_year) WHERE rank IN (1, 3) AND q.metric_id = 'quantity'", ("binding", "entity_id", "rank", "value"))
-_dag("attach_provenance", [("a", "argmax", ("revenue",)), ("p", "attach_provenance", ("a",))], "SELECT binding, entity_id, binding || ':' || entity_id || ':' || fiscal_year fact_id FROM (SELECT *, row_number() OVER (PARTITION BY binding ORDER BY value DESC, entity_id, fiscal_year) k FROM bound WHERE metric_id = 'revenue') WHERE k = 1", ("binding", "entity_id", "fact_id"))
-_dag("graph_answer", [("a", "graph_answer", ("quantity_1996",))], "SELECT binding, entity_id, fiscal_year, round(value, 4) AS value FROM bound WHERE metric_id = 'quantity' AND fiscal_year = 1996")
 _dag("multi_factor_screen", [
     ("g", "growth_by_entity", ("revenue_1997", "revenue_1996")), ("d", "ratio_by_entity", ("discount_value_1997", "gross_value_1997")),
     ("m", "ratio_by_entity", ("tax_value_1997", "revenue_1997")), ("s", "multi_factor_screen", ("g", "d", "m"), {"growth_above": 0.0, "rate_below": 70.0})],
@@ -71,7 +69,7 @@ def _(t):
 @R.query("constraint_coverage", "WITH s AS (SELECT n_regionkey k, list_sort(list(DISTINCT n_nationkey)) m FROM nation GROUP BY 1), f AS (SELECT n_regionkey k, list_sort(list(DISTINCT c_nationkey)) m FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 GROUP BY 1) SELECT s.k, coalesce(s.m = f.m, false) covered FROM s LEFT JOIN f USING (k)")
 def _(t):
     scope = t.nation.groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_set("n_nationkey")).alias("a"))
-    found = t.customer.where("c_acctbal > 9000").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_set("c_nationkey")).alias("b"))
+    found = t.customer.where("c_acctbal > 9000").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_set("c_nationkey")).alias("b"))
     return scope.join(found, "k", "left").select("k", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("covered"))
 
 
@@ -116,7 +114,7 @@ def _(t):
 def _(t):
     c = t.customer.groupBy(F.col("c_mktsegment").alias("g")).agg(F.count(F.lit(1)).alias("n"))
     total = c.agg(F.sum("n").alias("total"))
-    x = c.join(F.broadcast(total)).withColumn("x", F.col("n") * 101.0 / F.col("total"))
+    x = c.join(total).withColumn("x", F.col("n") * 101.0 / F.col("total"))
     f = x.select("g", F.floor("x").alias("base"), F.round(F.col("x") - F.floor("x"), 9).alias("rest"))
     every = Window.partitionBy()
     k = f.withColumn("r", F.row_number().over(Window.orderBy(F.desc("rest"), "g"))).withColumn("spare", 101 - F.sum("base").over(every))

@@ -104,15 +104,24 @@ def _multi_factor(growth, rate, margin, **p):
     return _rank(_intersect(_above_mean(margin), passed))
 
 
-def _provenance(a, **p):
-    return a.withColumn("fact_id", F.concat_ws(":", "binding", "entity_id", F.col("fiscal_year").cast("string")))
+def _provenance(a, b, **p):
+    """The selected facts with the sorted raw objects that (fact_id, raw_object_id) rows bind to them; a fact without any is left out."""
+    own = F.coalesce("secondary_fact_id", "fact_id") if "secondary_fact_id" in a.columns else F.col("fact_id")
+    bound = b.where(F.col("raw_object_id").isNotNull()).groupBy(F.col("fact_id").alias("_bound")).agg(F.array_sort(F.collect_set("raw_object_id")).alias("raw_object_ids"))
+    return a.join(bound, own == F.col("_bound")).drop("_bound")
+
+
+def _graph_answer(a, **p):
+    """The projected structure unchanged; a binding whose projection is empty is left out."""
+    there = [F.size(c) > 0 if t.startswith(("array", "map")) else F.col(c).isNotNull() for c, t in a.dtypes if c != "binding"]
+    return a.where(F.coalesce(F.greatest(*there, F.lit(False)), F.lit(False)))
 
 
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "lookup": _lookup, "difference": _difference, "compare": _compare, "mean": _mean, "argmax": _extreme(-1), "argmin": _extreme(1), "rank": _rank, "filter": _filter,
     "growth_by_entity": _growth, "ratio_by_entity": _ratio, "select_by_period": _select_by_period, "intersect_on_entity": _intersect,
     "lookup_ranked_entities": _lookup_ranked, "attach_provenance": _provenance, "multi_factor_screen": _multi_factor, "above_mean": _above_mean,
-    "graph_answer": lambda a, **p: a,
+    "graph_answer": _graph_answer,
 }
 
 
@@ -136,3 +145,21 @@ def compile_dag(steps: list[Step], relations: dict[str, DataFrame]) -> DataFrame
     for s in steps:
         done[s.step_id] = OPERATORS[s.operator](*[done[i] for i in s.inputs], **s.params)
     return done[steps[-1].step_id]
+
+
+def lineage(steps: list[Step], relations: dict[str, DataFrame], answer: DataFrame) -> DataFrame:
+    """(binding, step_ids, fact_ids, entities, periods) of an answer: the steps it rests on, and all that the relations under them hold
+    of its binding. Sets are unioned by one aggregate."""
+    by_id, reached, todo = {s.step_id: s for s in steps}, [], [steps[-1].step_id]
+    while todo:
+        name = todo.pop()
+        if name not in reached:
+            reached.append(name)
+            todo += by_id[name].inputs if name in by_id else ()
+    under = [relations[n].select("binding", F.col("fact_id").cast("string").alias("fact_id"), "entity_id", F.col("fiscal_year").cast("int").alias("fiscal_year")) for n in reached if n in relations]
+    rows = under[0]
+    for more in under[1:]:
+        rows = rows.unionByName(more)
+    kept = rows.join(answer.select("binding").distinct(), "binding", "left_semi")
+    sets = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("fact_id", "fact_ids"), ("entity_id", "entities"), ("fiscal_year", "periods"))]
+    return kept.groupBy("binding").agg(*sets).withColumn("step_ids", F.array(*[F.lit(s) for s in sorted(n for n in reached if n in by_id)]))

@@ -77,16 +77,7 @@ def _(t):
     return E.issue_report(calls, "l_orderkey")
 
 
-@R.query("adjudication_reasons", """WITH r AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 200000 THEN 'total_score_disagreement' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'low_confidence' END, CASE WHEN o_orderstatus = 'P' THEN 'missing_dimensions' END], lambda x: x IS NOT NULL) r FROM orders WHERE o_custkey % 3 = 0),
-e AS (SELECT o_orderkey, unnest(CASE WHEN len(r) = 0 THEN ['unclassified_unresolved'] WHEN len(r) > 1 THEN list_append(r, 'multiple_reasons') ELSE r END) reason FROM r),
-x AS (SELECT reason, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) examples FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY o_orderkey) k FROM e WHERE reason <> 'multiple_reasons') WHERE k <= 20 GROUP BY 1)
-SELECT reason, count(*) n, any_value(examples) examples FROM e LEFT JOIN x USING (reason) GROUP BY 1""")
-def _(t):
-    rules = {"total_score_disagreement": F.col("o_totalprice") > 200000, "low_confidence": F.col("o_orderpriority") == "5-LOW", "missing_dimensions": F.col("o_orderstatus") == "P"}
-    return E.reason_counts(t.orders.where("o_custkey % 3 = 0"), "o_orderkey", rules, "unclassified_unresolved")
-
-
-@R.query("adjudication_reasons_all", """WITH r AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 200000 THEN 'total_score_disagreement' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'low_confidence' END, CASE WHEN o_orderstatus = 'P' THEN 'missing_dimensions' END], lambda x: x IS NOT NULL) r FROM orders),
+@R.query("adjudication_reasons", """WITH r AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 200000 THEN 'total_score_disagreement' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'low_confidence' END, CASE WHEN o_orderstatus = 'P' THEN 'missing_dimensions' END], lambda x: x IS NOT NULL) r FROM orders),
 e AS (SELECT o_orderkey, unnest(CASE WHEN len(r) = 0 THEN ['unclassified_unresolved'] WHEN len(r) > 1 THEN list_append(r, 'multiple_reasons') ELSE r END) reason FROM r),
 x AS (SELECT reason, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) examples FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY o_orderkey) k FROM e WHERE reason <> 'multiple_reasons') WHERE k <= 20 GROUP BY 1)
 SELECT reason, count(*) n, any_value(examples) examples FROM e LEFT JOIN x USING (reason) GROUP BY 1""")
@@ -110,19 +101,7 @@ def _(t):
     return j.select("doc_id", F.round(0.85 * F.col("gap") + 0.1 * E.capacity_value(F.col("k"), 40) + F.when(F.col("train"), 5).otherwise(0), 4).alias("value"))
 
 
-@R.query("retention_plan", """WITH b AS (SELECT n_nationkey build_id, n_nationkey % 4 <> 1 ok, n_nationkey % 3 <> 0 good, n_nationkey = 2 active, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 40 = 0) n_nodes FROM nation),
-h AS (SELECT build_id FROM b WHERE ok AND good AND n_nodes > 0 ORDER BY build_id DESC LIMIT 2) SELECT build_id, n_nodes, CASE WHEN build_id IN (SELECT build_id FROM h) OR active OR build_id = 7 THEN 'hot' WHEN n_nodes > 0 THEN 'archive' ELSE 'empty' END AS action FROM b""")
-def _(t):
-    n = t.customer.where("c_custkey % 40 = 0").groupBy(F.col("c_nationkey").alias("build_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
-    k = F.col("n_nationkey")
-    builds = t.nation.select(
-        k.alias("build_id"), F.when(k % 4 != 1, "success").otherwise("failed").alias("status"), F.when(k % 3 != 0, "passed").otherwise("failed").alias("quality_status"), F.when(k == 2, 1).otherwise(0).alias("is_active"),
-        F.lit(None).cast("date").alias("completed_at"), F.date_add(F.lit("2024-01-01").cast("date"), k).alias("started_at"), F.lit(0).alias("n_edges"),
-    ).join(n, "build_id", "left").fillna(0, ["n_nodes"])
-    return E.retention(builds, 2, [7]).select("build_id", "n_nodes", "action")
-
-
-@R.query("retention_plan_all", """WITH b AS (SELECT n_nationkey build_id, n_nationkey % 4 <> 1 ok, n_nationkey % 3 <> 0 good, n_nationkey = 2 active, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) n_nodes FROM nation),
+@R.query("retention_plan", """WITH b AS (SELECT n_nationkey build_id, n_nationkey % 4 <> 1 ok, n_nationkey % 3 <> 0 good, n_nationkey = 2 active, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) n_nodes FROM nation),
 h AS (SELECT build_id FROM b WHERE ok AND good AND n_nodes > 0 ORDER BY build_id DESC LIMIT 2) SELECT build_id, n_nodes, CASE WHEN build_id IN (SELECT build_id FROM h) OR active OR build_id = 7 THEN 'hot' WHEN n_nodes > 0 THEN 'archive' ELSE 'empty' END AS action FROM b""")
 def _(t):
     n = t.customer.groupBy(F.col("c_nationkey").alias("build_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
@@ -163,8 +142,8 @@ q AS (SELECT g, (base + coalesce(r <= spare, false)::INT)::BIGINT quota FROM z)"
 @R.query("quota_stratum_take", f"WITH {_QUOTA} SELECT c_custkey, g FROM (SELECT c_custkey, c_mktsegment || (c_nationkey % 5) g, row_number() OVER (PARTITION BY c_mktsegment || (c_nationkey % 5) ORDER BY c_custkey) k FROM customer) JOIN q USING (g) WHERE k <= quota")
 def _(t):
     c = t.customer.select("c_custkey", F.concat("c_mktsegment", (F.col("c_nationkey") % 5).cast("string")).alias("g"))
-    counts = {r.g: r.n for r in c.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a stratum
-    return S.take_quotas(c, "g", S.stratum_quotas(counts, 60), ["c_custkey"])
+    counts = c.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # one row a stratum
+    return S.take_quotas(c, "g", S.stratum_quotas(counts, "g", "n", 60), ["c_custkey"])
 
 
 @R.query("sample_round_robin", "SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) k FROM part) ORDER BY k, p_brand LIMIT 50")

@@ -48,21 +48,7 @@ def _(t):
     return c.groupBy(X.period_label(F.col("role"), F.col("fp")).alias("label"), "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("candidate_resolution", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey k, l_suppkey % 5 d, l_linenumber % 3 p, CASE WHEN l_partkey % 9 > 0 THEN l_suppkey % 5 % 3 END pub, l_quantity::INT % 2 v FROM lineitem WHERE l_linenumber <= 4),
-a AS (SELECT *, min(v) OVER w lo, max(v) OVER w hi, max(p) OVER w lp FROM c WINDOW w AS (PARTITION BY k, d)), b AS (SELECT *, min(v) FILTER (p = lp) OVER w plo, max(v) FILTER (p = lp) OVER w phi, max(pub) OVER w dp FROM a WINDOW w AS (PARTITION BY k, d)),
-f AS (SELECT *, lo = hi one, lo = hi OR plo = phi clear FROM b), g AS (SELECT k, min(plo) glo, max(phi) ghi, count(DISTINCT d) docs, bool_or(dp IS NULL) undated, max(dp) last FROM f WHERE clear GROUP BY 1),
-h AS (SELECT f.k, min(plo) nlo, max(phi) nhi FROM f JOIN g ON f.k = g.k AND f.dp = g.last WHERE clear GROUP BY 1)
-SELECT l_orderkey, l_linenumber, CASE WHEN NOT clear THEN 'conflict' WHEN NOT one AND p < lp THEN 'superseded_same_document' WHEN glo = ghi AND docs > 1 THEN 'matched' WHEN glo = ghi THEN 'single_document' WHEN undated OR nlo <> nhi THEN 'conflict' WHEN v = nlo THEN 'latest_restated' ELSE 'superseded' END cross_check
-FROM f LEFT JOIN g ON f.k = g.k LEFT JOIN h ON f.k = h.k""")
-def _(t):
-    c = t.lineitem.where("l_linenumber <= 4").select(
-        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 5).alias("document"), (F.col("l_linenumber") % 3).alias("page"),
-        F.when(F.col("l_partkey") % 9 > 0, F.col("l_suppkey") % 5 % 3).alias("published"), (F.col("l_quantity").cast("int") % 2).alias("value"),
-    )
-    return X.resolve(c, ["k"]).select("l_orderkey", "l_linenumber", "cross_check")
-
-
-@R.query("candidate_resolution_all", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey k, l_suppkey % 5 d, l_linenumber % 3 p, CASE WHEN l_partkey % 9 > 0 THEN l_suppkey % 5 % 3 END pub, l_quantity::INT % 2 v FROM lineitem),
+@R.query("candidate_resolution", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey k, l_suppkey % 5 d, l_linenumber % 3 p, CASE WHEN l_partkey % 9 > 0 THEN l_suppkey % 5 % 3 END pub, l_quantity::INT % 2 v FROM lineitem),
 a AS (SELECT *, min(v) OVER w lo, max(v) OVER w hi, max(p) OVER w lp FROM c WINDOW w AS (PARTITION BY k, d)), b AS (SELECT *, min(v) FILTER (p = lp) OVER w plo, max(v) FILTER (p = lp) OVER w phi, max(pub) OVER w dp FROM a WINDOW w AS (PARTITION BY k, d)),
 f AS (SELECT *, lo = hi one, lo = hi OR plo = phi clear FROM b), g AS (SELECT k, min(plo) glo, max(phi) ghi, count(DISTINCT d) docs, bool_or(dp IS NULL) undated, max(dp) last FROM f WHERE clear GROUP BY 1),
 h AS (SELECT f.k, min(plo) nlo, max(phi) nhi FROM f JOIN g ON f.k = g.k AND f.dp = g.last WHERE clear GROUP BY 1)
@@ -126,7 +112,7 @@ def _(t):
 
     r = F.col("n_regionkey")
     region = F.when(r.isin(0, 1) | F.col("n_name").endswith("_2"), "first").when(r == 2, "mixed").when(r < 9, "second").otherwise("unclassified")
-    d = distribution(t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")), region)
+    d = distribution(t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")), region)
     return d.select(F.col("category").alias("region"), "n", F.round("share", 6).alias("share"))
 
 

@@ -65,7 +65,7 @@ def _(t):
 
 @R.query("constraint_disjoint", "WITH s AS (SELECT n_regionkey k, list(DISTINCT c_mktsegment) FILTER (c_acctbal > 9500) a, list(DISTINCT c_mktsegment) FILTER (c_acctbal < -500) b FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT k, coalesce(len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b), false) AS disjoint FROM s")
 def _(t):
-    j = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    j = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     some = lambda w: F.collect_set(F.when(F.expr(w), F.col("c_mktsegment")))
     s = j.groupBy(F.col("n_regionkey").alias("k")).agg(some("c_acctbal > 9500").alias("a"), some("c_acctbal < -500").alias("b"))
     return s.select("k", ((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")).alias("disjoint"))

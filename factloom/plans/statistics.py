@@ -21,7 +21,7 @@ def _(t):
 def _(t):
     from pyspark.sql import Window
 
-    e = t.events.join(F.broadcast(t.nation), F.col("user_id") % 25 == F.col("n_nationkey")).groupBy("n_name", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    e = t.events.join(t.nation, F.col("user_id") % 25 == F.col("n_nationkey")).groupBy("n_name", "event_type").agg(F.count(F.lit(1)).alias("n"))
     s = e.withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy("n_name")))
     return s.groupBy("n_name").agg(F.round(-F.sum(F.col("s") * F.log2("s")), 4).alias("entropy"), F.round(F.max("s"), 4).alias("largest"))
 

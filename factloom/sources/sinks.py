@@ -28,11 +28,29 @@ def archive(df: DataFrame, path: str) -> tuple[int, str]:
 
 
 def write_build(df: DataFrame, path: str, build_id: str) -> None:
-    """A build's rows; the pointer moves only after they are all there."""
+    """A build's rows; the pointer is a new small file in a folder of its own, named after them when they are all there.
+
+    Pointers are only added, never rewritten, so a crash leaves the build before in force.
+    """
     df.write.mode("overwrite").parquet(f"{path}/build_id={build_id}")
-    df.sparkSession.createDataFrame([(build_id,)], "build_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_active")
+    spark = df.sparkSession
+    seen = [r[0] for r in _pointers(spark, path).select("turn").collect()]
+    turn = max(seen, default=0) + 1
+    spark.createDataFrame([(turn, build_id)], "turn long, build_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_active/turn-{turn:09d}")
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    """(turn, build_id) of every pointer that was written whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_active")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [str(x.getPath()) for x in fs.listStatus(at)] if fs.exists(at) else []
+    whole = [f for f in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+    return spark.read.schema("turn long, build_id string").parquet(*whole) if whole else spark.createDataFrame([], "turn long, build_id string")
 
 
 def read_active(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the build that the pointer names."""
-    return spark.read.parquet(f"{path}/build_id={spark.read.parquet(f'{path}/_active').first()[0]}")
+    """Rows of the build that the last pointer names."""
+    last = _pointers(spark, path).agg(F.max(F.struct("turn", "build_id")).alias("last")).first()["last"]
+    if last is None:
+        raise ValueError(f"no active build at {path}")
+    return spark.read.parquet(f"{path}/build_id={last['build_id']}")

@@ -45,12 +45,77 @@ def test_release_meets_hard_margins(spark):
         assert {x["count"] for x in out.groupBy(c).count().collect()} == {10}
 
 
-def test_stratum_quotas():
-    got = S.stratum_quotas({"large": 80, "medium": 15, "small": 5}, 37)
-    assert sum(got.values()) == 37 and all(1 <= got[k] <= n for k, n in {"large": 80, "medium": 15, "small": 5}.items())
-    assert S.stratum_quotas({"a": 3, "b": 9, "c": 9}, 2) == {"a": 0, "b": 1, "c": 1}
-    assert S.stratum_quotas({"a": 3, "b": 2}, 99) == {"a": 3, "b": 2}
-    assert S.stratum_quotas({"a": 0}, 5) == {} and S.stratum_quotas({"a": 4}, 0) == {"a": 0}
+def test_stratum_quotas(spark):
+    def got(counts, budget, least=1):
+        df = spark.createDataFrame(list(counts.items()), "g string, n long")
+        return {r.g: r.quota for r in S.stratum_quotas(df, "g", "n", budget, least).collect()}
+
+    have = {"large": 80, "medium": 15, "small": 5}
+    out = got(have, 37)
+    assert sum(out.values()) == 37 and all(1 <= out[k] <= n for k, n in have.items())
+    assert got({"a": 3, "b": 9, "c": 9}, 2) == {"a": 0, "b": 1, "c": 1}
+    assert got({"a": 3, "b": 2}, 99) == {"a": 3, "b": 2}
+    assert got({"a": 0}, 5) == {} and got({"a": 4}, 0) == {"a": 0}
+    r = random.Random(1)
+    for _ in range(5):
+        counts = {f"s{k}": r.randint(1, 40) for k in range(12)}
+        size = r.randint(1, 200)
+        out = got(counts, size, r.randint(0, 3))
+        assert sum(out.values()) == min(size, sum(counts.values())) and all(out[k] <= n for k, n in counts.items())
+
+
+def test_longest_label_keeps_repeated_rows(spark):
+    texts = spark.createDataFrame([("net income total",), ("net income total",), ("net",), ("other",), (None,)], "label string")
+    aliases = spark.createDataFrame([("net", "a"), ("Net income", "b"), ("Net income", "c")], "alias string, metric_id string")
+    assert sorted((r.label, r.alias, r.metric_id) for r in X.longest_label(texts, aliases, "label").collect()) == [("net", "net", "a"), ("net income total", "Net income", "b"), ("net income total", "Net income", "b")]
+
+
+def test_shape_of_all_components(spark):
+    from factloom.operators import graph as G
+
+    rows = [(1, "a", "b"), (1, "x", "y"), (1, "y", "z"), (1, "z", "u"), (1, "z", "v"), (2, "p", "p"), (2, "", "q"), (3, None, "r")]
+    out = G.shapes(spark.createDataFrame(rows, "sample long, a string, b string")).collect()
+    assert {r["sample"]: (r.n_nodes, r.diameter, r.branches) for r in out} == {1: (7, 3, 1), 2: (1, 0, 0)}
+    rnd = random.Random(4)
+    links = [(k, f"n{rnd.randint(0, 14)}", f"n{rnd.randint(0, 14)}") for k in range(30) for _ in range(rnd.randint(1, 16))]
+
+    def plain(pairs):
+        near = collections.defaultdict(set)
+        for a, b in pairs:
+            near[a].add(b)
+            near[b].add(a)
+
+        def far(start):
+            dist, queue = {start: 0}, [start]
+            for x in queue:
+                for y in near[x]:
+                    if y not in dist:
+                        dist[y] = dist[x] + 1
+                        queue.append(y)
+            end = max(dist, key=lambda x: (dist[x], x))
+            return end, dist[end], set(dist)
+
+        best, left = 0, set(near)
+        while left:
+            end, _, part = far(min(left))
+            left -= part
+            best = max(best, far(end)[1])
+        return len(near), best, sum(len(v) > 2 for v in near.values())
+
+    out = G.shapes(spark.createDataFrame(links, "sample long, a string, b string")).collect()
+    assert {r["sample"]: (r.n_nodes, r.diameter, r.branches) for r in out} == {k: plain([(a, b) for j, a, b in links if j == k]) for k in range(30)}
+
+
+def test_the_active_build_survives_a_broken_pointer(spark, tmp_path):
+    from factloom.sources import sinks
+
+    path = str(tmp_path)
+    sinks.write_build(spark.range(3), path, "one")
+    sinks.write_build(spark.range(5), path, "two")
+    (tmp_path / "_active" / "turn-000000003").mkdir()  # begun, never finished
+    assert sinks.read_active(spark, path).count() == 5
+    sinks.write_build(spark.range(2), path, "one")
+    assert sinks.read_active(spark, path).count() == 2
 
 
 def test_candidate_resolution(spark):

@@ -28,7 +28,7 @@ def test_components_of_every_link(spark, tmp_path):
     want = {x: root(x) for x in up}
     sizes = [list(want.values()).count(c) for c in set(want.values())]
     assert max(sizes) > 100 and len(sizes) > 30
-    rows = catalog.queries()["graph_components_all"](spark, str(tmp_path)).collect()
+    rows = catalog.queries()["graph_components"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {r.id: r.component for r in rows} == want
 
 
@@ -72,9 +72,9 @@ def test_whole_tables_are_classified_counted_and_resolved(spark, tmp_path):
     put("customer", [(k, 3) for k in range(1, 8)] + [(9, 5)], "c_custkey long, c_nationkey int")
     put("lineitem", [(1, k, 1, k, 1) for k in range(1, 8)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity long")
     run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in run("adjudication_reasons_all")] == [("unclassified_unresolved", 9, "1,2,3,4,5,6,7,8,9")]
-    assert {r.build_id: (r.n_nodes, r.action) for r in run("retention_plan_all")} == {3: (7, "archive"), 5: (1, "archive"), 9: (0, "empty")}
-    assert {(r.l_linenumber, r.cross_check) for r in run("candidate_resolution_all")} == {(k, "matched") for k in range(1, 8)}
+    assert [tuple(r) for r in run("adjudication_reasons")] == [("unclassified_unresolved", 9, "1,2,3,4,5,6,7,8,9")]
+    assert {r.build_id: (r.n_nodes, r.action) for r in run("retention_plan")} == {3: (7, "archive"), 5: (1, "archive"), 9: (0, "empty")}
+    assert {(r.l_linenumber, r.cross_check) for r in run("candidate_resolution")} == {(k, "matched") for k in range(1, 8)}
 
 
 def test_rows_of_every_table(spark, tmp_path):
@@ -86,3 +86,29 @@ def test_rows_of_every_table(spark, tmp_path):
     assert [r.cells for r in rows] == ["x", *[f"a{k}|b" for k in range(90)], *["h"] * 30, "y", "loose"]
     found = scans.html_tables(spark.read.parquet(str(tmp_path / "pages.parquet"))).collect()
     assert sorted((r.table, r.table_row) for r in found if r.table is not None) == [(0, k) for k in range(90)] + [(k, 0) for k in range(1, 31)]
+
+
+def test_sketches_are_near_the_exact_values(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(r.randint(1, 3000), "OF"[k % 2], float(r.randint(1, 10**6))) for k in range(20000)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    for x in catalog.queries()["agg_approximate"](spark, str(tmp_path)).collect():
+        own = [(c, p) for c, s, p in rows if s == x.o_orderstatus]
+        exact, prices = len({c for c, _ in own}), sorted(p for _, p in own)
+        assert abs(x.customers - exact) <= 0.08 * exact and abs(x.median - prices[len(prices) // 2]) <= 0.01 * 10**6
+
+
+def test_replay_names_what_is_lost(spark):
+    from factloom.operators import binding as B
+
+    nodes = spark.createDataFrame([(f"{k}{i}", k) for k in "ab" for i in range(4)], "id string, kind string")
+    edges = spark.createDataFrame([("a0", "R", "b0"), ("a0", "R", "b1"), ("a1", "R", "b1"), ("a2", "S", "b2")], "src string, rel string, dst string")
+    bound = B.expand(B.scan(nodes, "a", "root"), edges, "root", "R", "found", least=0)
+    assert {x.binding: x.found for x in bound.collect()} == {"a0": ["b0", "b1"], "a1": ["b1"], "a2": [], "a3": []}
+    back = B.expand(bound.where("size(found) > 0"), edges, "found", "R", "roots", forward=False)
+    assert {x.binding: (x.roots, len(x.walk)) for x in back.collect()} == {"a0": (["a0", "a1"], 3), "a1": (["a0", "a1"], 2)}
+    out = B.replay(back, nodes.where("id <> 'b0'"), edges.where("not (src = 'a1' and dst = 'b1')"), ["root", "found", "roots"]).collect()
+    assert {x.binding: (x.missing_nodes, x.missing_edges, x.passed) for x in out} == {"a0": (1, 1, False), "a1": (0, 1, False)}
+    facts = spark.createDataFrame([("b0", 2, "x"), ("b1", 1, "y")], "id string, v int, n string")
+    assert {x.binding: [tuple(a) for a in x.answer] for x in B.project(bound, facts, "found", ["v", "n"]).collect()} == {"a0": [(1, "y"), (2, "x")], "a1": [(1, "y")]}
+
