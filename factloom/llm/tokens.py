@@ -29,7 +29,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+\Z")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Entries of a table of chunks and of one of runs of characters; a worker has two of each, about 80 MB together.
-CHUNKS, RUNS = 400_000, 60_000
+CHUNKS, RUNS = 520_000, 60_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -55,8 +55,7 @@ class Chunks:
     def __init__(self, entries: int):
         self.table = words.Table(entries)
         self.used = self.n_ids = self.n_bytes = 0
-        self.start, self.byte = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.size, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.start, self.byte, self.size, self.length = (np.zeros(1024, np.int32) for _ in range(4))
         self.flat, self.bytes = np.zeros(4096, np.uint32), np.zeros(8192, np.uint8)
 
     def find(self, found: words.Words, eight: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
@@ -79,29 +78,31 @@ class Chunks:
             live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
         return place
 
-    def ids(self, place: int) -> np.ndarray:
-        return self.flat[self.start[place] : self.start[place] + self.size[place]]
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, and how many each has."""
+        size = self.size[places].astype(np.int64)
+        return _gather(self.flat, self.start[places], size, np.concatenate([[0], np.cumsum(size)])), size
 
-    def append(self, found: words.Words, which: np.ndarray, ids: list) -> np.ndarray:
-        """Lay out the words ``which`` with their ids; their places."""
-        n, size, length = len(which), np.fromiter(map(len, ids), np.int64, len(which)), found.length[which]
-        total, wide = int(size.sum()), int(length.sum())
+    def append(self, found: words.Words, which: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Lay out the words ``which`` with their ids, given as by ``ids``; their places."""
+        n, length = len(which), found.length[which]
+        total, wide = len(flat), int(length.sum())
         for name in ("start", "byte", "size", "length"):
             setattr(self, name, _grown(getattr(self, name), self.used, n))
         self.flat, self.bytes = _grown(self.flat, self.n_ids, total), _grown(self.bytes, self.n_bytes + 8, wide)
         own = slice(self.used, self.used + n)
         self.start[own], self.byte[own] = self.n_ids + np.cumsum(size) - size, self.n_bytes + np.cumsum(length) - length
         self.size[own], self.length[own] = size, length
-        self.flat[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.n_ids : self.n_ids + total] = flat
         ends = np.concatenate([[0], np.cumsum(length)])
         self.bytes[self.n_bytes : self.n_bytes + wide] = _gather(found.data, found.start[which], length, ends)
         self.used, self.n_ids, self.n_bytes = self.used + n, self.n_ids + total, self.n_bytes + wide
         return np.arange(own.start, own.stop)
 
-    def add(self, found: words.Words, which: np.ndarray, ids: list) -> None:
+    def add(self, found: words.Words, which: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         """Put in words whose hashes are distinct; where another chunk has the hash, it stays."""
-        free = np.flatnonzero(self.table.find(found.hash[which]) < 0)
-        place = self.append(found, which[free], [ids[k] for k in free.tolist()])
+        free = self.table.find(found.hash[which]) < 0
+        place = self.append(found, which[free], flat[np.repeat(free, size)], size[free])
         self.table.add(found.hash[which[free]], place)
 
 
@@ -155,8 +156,8 @@ class Encoder:
         self._runs[run] = ids
         return ids
 
-    def _encoded(self, found: words.Words, which: np.ndarray) -> list[tuple[int, ...]]:
-        """Ids of each of the words ``which``."""
+    def _encoded(self, found: words.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words ``which`` one after another, and how many each has."""
         n = found.length[which] + 1  # a space behind each, which no word holds
         ends = np.concatenate([[0], np.cumsum(n)])
         blob = _gather(np.append(found.data, np.uint8(32)), found.start[which], n, ends)
@@ -173,7 +174,8 @@ class Encoder:
                 for run in cut(low):
                     got += self._runs.get(run) or runs_of(run)
             out.append(got)
-        return out
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(size.sum())), size
 
     def _rows(self, found: words.Words) -> tuple[Chunks, np.ndarray]:
         """A table, and each word's place in it; unknown words are encoded once."""
@@ -189,16 +191,12 @@ class Encoder:
                 return self._rows(found)
         chosen = missing[first]
         known = self._old.find(found, eight, chosen)
-        ids: list = [None] * len(chosen)
-        fresh = np.flatnonzero(known < 0)
-        for k, own in zip(fresh.tolist(), self._encoded(found, chosen[fresh]), strict=True):
-            ids[k] = own
-        for k in np.flatnonzero(known >= 0).tolist():
-            ids[k] = self._old.ids(int(known[k]))
-        self._young.add(found, chosen, ids)
+        moved = known >= 0
+        self._young.add(found, chosen[moved], *self._old.ids(known[moved]))
+        self._young.add(found, chosen[~moved], *self._encoded(found, chosen[~moved]))
         place[missing] = self._young.find(found, eight, missing)
         for k in np.flatnonzero(place < 0).tolist():  # two chunks of one hash: the second is kept outside the table
-            place[k] = self._young.append(found, np.array([k]), self._encoded(found, np.array([k])))[0]
+            place[k] = self._young.append(found, np.array([k]), *self._encoded(found, np.array([k])))[0]
         return self._young, place
 
     def encode(self, texts: pa.Array):
