@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, audits, bindings, evaluation, filings, gates, graphs, roles, statistics, texts
+from .plans import analytics, audits, bindings, evaluation, filings, gates, graphs, production, roles, statistics, texts
 
-_PARTS = (analytics, audits, bindings, roles, evaluation, filings, gates, graphs, statistics, texts)
+_PARTS = (analytics, audits, bindings, roles, evaluation, filings, gates, graphs, production, statistics, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
