@@ -54,3 +54,47 @@ def read_active(spark: SparkSession, path: str) -> DataFrame:
     if last is None:
         raise ValueError(f"no active build at {path}")
     return spark.read.parquet(f"{path}/build_id={last['build_id']}")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """Nodes and edges as JSON lines in a folder each; gives (part, rows, bytes_crc) of what was written, read back from there."""
+    out = None
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.write.mode("errorifexists").json(f"{path}/{name}")
+        found = df.sparkSession.read.text(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.crc32("value").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("bytes_crc"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def combine_exports(frames: list[DataFrame], path: str, order: list[str], split: str = "split") -> DataFrame:
+    """Several exports as one, each split's rows in order; gives the manifest (split, rows, exports, ids_sha256) of all.
+
+    Columns that an export lacks are null. An id that two exports carry stays twice, and the manifest's ``rows`` above ``ids`` shows it.
+    The digest is of the sorted digests of 4,096 id buckets, so no split's ids meet in one task.
+    """
+    out = None
+    for k, f in enumerate(frames):
+        one = f.withColumn("export", F.lit(k))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    out.repartitionByRange(split, *order).sortWithinPartitions(split, *order).write.mode("errorifexists").partitionBy(split).json(path)
+    key = F.sha2(F.to_json(F.struct(*order)), 256)
+    buckets = out.select(split, "export", key.alias("k")).groupBy(split, F.pmod(F.xxhash64("k"), F.lit(4096)).alias("b")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("k").alias("ids"), F.collect_set("export").alias("e"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("d")
+    )
+    return buckets.groupBy(split).agg(
+        F.sum("rows").alias("rows"), F.sum("ids").alias("ids"), F.size(F.array_distinct(F.flatten(F.collect_list("e")))).alias("exports"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ","), 256).alias("ids_sha256"),
+    )
+
+
+def write_report(rows: DataFrame, path: str, title: str, most: int = 1000) -> int:
+    """A small table as JSON lines and as Markdown, below a folder; more than ``most`` rows are an error, since a report is read whole."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in found)]
+    spark = rows.sparkSession
+    spark.createDataFrame(found, rows.schema).coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+    return len(found)

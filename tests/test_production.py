@@ -74,3 +74,32 @@ def test_hotspots_and_large_components(spark):
     rows = [(1, "peer")] * 9 + [(2, None), (2, "entity")] + [(3, "entity"), (3, "peer")] + [(k, None) for k in range(10, 40)]
     split = {r.component: r.split for r in K.component_splits(spark.createDataFrame(rows, "component long, holdout string"), ["peer", "entity"]).collect()}
     assert (split[1], split[2], split[3]) == ("train", "test_entity", "test_peer") and {split[k] for k in range(10, 40)} <= {"train", "dev", "test"}
+
+
+def test_graph_and_reports_are_written_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.sources import sinks
+
+    nodes = spark.createDataFrame([("a", "K"), ("b", "K")], "id string, kind string")
+    edges = spark.createDataFrame([("a", "r", "b")], "src string, rel string, dst string")
+    assert {(r.part, r.rows) for r in sinks.write_graph(nodes, edges, str(tmp_path / "kg")).collect()} == {("nodes", 2), ("edges", 1)}
+    assert spark.read.json(str(tmp_path / "kg/edges")).count() == 1
+    assert sinks.write_report(nodes.withColumn("x", F.lit(None).cast("string")), str(tmp_path / "report"), "Nodes") == 2
+    text = [r.value for r in spark.read.text(str(tmp_path / "report/markdown")).collect()]
+    assert text[0] == "# Nodes" and "| a | K |  |" in text and spark.read.json(str(tmp_path / "report/json")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_report(nodes, str(tmp_path / "other"), "Nodes", 1)
+
+
+def test_exports_are_combined(spark, tmp_path):
+    from factloom.sources import sinks
+
+    one = spark.createDataFrame([("train", k, "q") for k in range(50)] + [("test", 100, "q")], "split string, id long, question string")
+    two = spark.createDataFrame([("train", 49), ("train", 77)], "split string, id long")
+    got = {r.split: (r.rows, r.ids, r.exports) for r in sinks.combine_exports([one, two], str(tmp_path / "a"), ["id"]).collect()}
+    assert got == {"train": (52, 51, 2), "test": (1, 1, 1)}
+    assert spark.read.json(str(tmp_path / "a")).count() == 53
+    digest = lambda frames, at: {r.split: r.ids_sha256 for r in sinks.combine_exports(frames, str(tmp_path / at), ["id"]).collect()}
+    a, b, c = digest([one, two], "b"), digest([two.repartition(3), one], "c"), digest([one], "d")
+    assert a == b and a["train"] != c["train"] and a["test"] == c["test"]
