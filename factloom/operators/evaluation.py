@@ -106,7 +106,7 @@ def retention(builds: DataFrame, hot: int, preserved: list[str] = ()) -> DataFra
     holds = (F.coalesce("n_nodes", F.lit(0)) > 0) | (F.coalesce("n_edges", F.lit(0)) > 0)
     done = F.coalesce(F.col("status").isin("archived", "archived_partial"), F.lit(False))
     action = F.when(keep, "hot").when(holds, "archive").when(~done, "empty").otherwise("archived")
-    return builds.join(F.broadcast(newest), "build_id", "left").withColumn("action", action).drop("_hot")
+    return builds.join(newest, "build_id", "left").withColumn("action", action).drop("_hot")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -90,4 +90,4 @@ def release(df: DataFrame, key: str, score: str, targets: Mapping[str, Mapping[s
         for n, v in zip(names, best):
             left[n][v] -= 1
     chosen = df.sparkSession.createDataFrame([(k,) for k in taken], df.select(key).schema)
-    return df.join(F.broadcast(chosen), key, "left_semi")
+    return df.join(chosen, key, "left_semi")
