@@ -28,6 +28,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: apostrophe, and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+\Z")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Bytes of text encoded at once; what encoding needs beside its tables grows with it.
+SLICE_BYTES = 1_000_000
 #: Entries of a table of chunks and of one of runs of characters; a worker has two of each, about 80 MB together.
 CHUNKS, RUNS = 520_000, 60_000
 
@@ -65,7 +67,7 @@ class Chunks:
         live = np.flatnonzero(place >= 0)
         if not len(live):
             return place
-        other = words.eights(self.bytes)
+        other = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))  # eight bytes stand behind the last chunk
         row = place[live]
         same = self.length[row] == length[live]
         place[live[~same]] = -1
@@ -201,7 +203,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array):
         """Yields (first row, ids, ends): a slice's ids in one array and each row's end in it."""
-        for at, part in words.slices(texts):
+        for at, part in words.slices(texts, SLICE_BYTES):
             if not self.chunked:
                 found = [
                     np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
@@ -218,7 +220,7 @@ class Encoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text; the ids themselves are not laid out."""
         out = [np.zeros(0, np.int64)]
-        for _, part in words.slices(texts):
+        for _, part in words.slices(texts, SLICE_BYTES):
             if self.chunked:
                 cut = words.Words(part, words.SPACE, False)
                 table, place = self._rows(cut)

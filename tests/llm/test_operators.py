@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from factloom import scratch
-from factloom.llm import bilstm, decontam, htmlextract, htmlblocks, jaccard, langid, linededup, packing, quality, token_counts, tokens, urlfilter, warc, words
+from factloom.llm import bilstm, decontam, htmlextract, htmlblocks, jaccard, langid, linededup, memory, packing, quality, token_counts, tokens, urlfilter, warc, words
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -303,6 +303,15 @@ def test_encoding_with_tables_that_run_over(monkeypatch):
         assert tokens.Encoder(tokens.default_path()).counts(pa.array(texts)).tolist() == want
 
 
+def test_memory_is_given_back_between_batches(monkeypatch):
+    batch = pa.record_batch({"x": pa.array(range(memory.LARGE // 8 + 1), pa.int64())})
+    small, events = pa.record_batch({"x": pa.array([1])}), []
+    monkeypatch.setattr(memory, "release", lambda: events.append("release"))
+    out = list(memory.by_task(lambda batches: (events.append(b.num_rows) or b for b in batches))(iter([batch, batch, small, small])))
+    assert [b.num_rows for b in out] == [batch.num_rows] * 2 + [1, 1]
+    assert events == [batch.num_rows, "release", batch.num_rows, "release", 1, 1, "release"]
+
+
 def test_encoding_equals_the_library():
     r = random.Random(2)
     alphabet = "aZé'É´ß9٣́ \t\x0b  <|>endoftext.,#İΣ日!_ſ’"
